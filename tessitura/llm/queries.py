@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language, line_dedup, minhash, mixing, sharding, simhash, substring_dedup, warc
+from . import bpe, exact_dedup, line_dedup, mixing, sharding, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,11 +19,8 @@ def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": _over("documents", line_dedup.op1_line_dedup),
         "op2_mixing": _over("documents", mixing.op2_mixing),
-        "op3_language_id": language.op3_language_id,
         "op4_warc": _over("pages", warc.op4_warc),
         "op5_exact_dedup": _over("documents", exact_dedup.op5_exact_dedup),
-        "op6_substring_dedup": _over("documents", substring_dedup.op6_substring_dedup),
-        "op7_minhash": _over("documents", minhash.op7_minhash),
         "op8_bpe": _over("documents", bpe.op8_bpe),
         "op9_simhash": _over("documents", simhash.op9_simhash),
         "op10_sharding": _over("documents", sharding.op10_sharding),
@@ -36,5 +33,4 @@ def oracle_sql() -> dict[str, str]:
         "op2_mixing": mixing.ORACLE,
         "op4_warc": warc.ORACLE,
         "op5_exact_dedup": exact_dedup.ORACLE,
-        "op6_substring_dedup": substring_dedup.ORACLE,
     }
