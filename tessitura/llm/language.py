@@ -9,9 +9,9 @@ counts it is judged by. A text counts as TEXT_WEIGHT trigrams at most, since its
 The trigram model is fitted on a bounded sample of labelled rows: TRAIN_ROWS rows in order of a hash of their id,
 TRAIN_CHARS characters of each. Scores, counts and decisions cover all rows and whole texts.
 
-A row is rejected if it has no letters, if no language reaches MIN_PROBABILITY, or if its text is less likely, per
-trigram, than FLOOR_SD standard deviations below what its language shows in the sample (texts of
-FLOOR_TRIGRAMS or more). Clean short texts pass.
+A row is rejected if it has no letters, if no language reaches MIN_PROBABILITY, or if, in a text of JUDGED_TRIGRAMS
+or more, fewer than MIN_KNOWN of the trigrams are common (more than an even share) in any language of the model: such
+a text is in none of them. Short texts, and texts of the model's languages in unusual words, pass.
 
 Defined cases: a null or empty text has no letters and is rejected, with a null language; a null host has the
 prior of all rows; a declared language that the model doesn't know is no evidence; without any labelled row nothing
@@ -21,6 +21,7 @@ can be told, and every row comes back kept, with a null language; ids pass throu
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,8 +35,8 @@ from .common import documents, durable, small_batches, text_or_empty
 
 TRAIN_ROWS, TRAIN_CHARS, MIN_LABELS = 6_000, 4_000, 5
 TEXT_WEIGHT, PULL, MIN_PROBABILITY = 200, 5.0, 0.5
-FLOOR_SD, FLOOR_GAP, FLOOR_TRIGRAMS = 8.0, 1.5, 40
-HASH_BITS = 16
+MIN_KNOWN, JUDGED_TRIGRAMS = 0.1, 40
+HASH_BITS = 17
 
 # Letters in lower case, every other ASCII character as a space; bytes of other scripts stay.
 _LETTERS = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(256))
@@ -54,33 +55,25 @@ def trigrams(text: bytes) -> np.ndarray:
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    table: np.ndarray  # log probability by (trigram, language)
-    floor: np.ndarray  # least mean log probability by language
+    table: np.ndarray  # by trigram: its log probability in each language, and whether it is common in any
 
-    def score(self, text: bytes) -> tuple[np.ndarray, int]:
+    def score(self, text: bytes) -> tuple[np.ndarray, int, int]:
+        """The text's log likelihoods, its number of trigrams and of common ones."""
         t = trigrams(text)
-        return self.table.take(t, axis=0).sum(axis=0, dtype=np.float64), len(t)
+        s = self.table.take(t, axis=0).sum(axis=0, dtype=np.float64)
+        return s[:-1], len(t), int(s[-1])
 
 
 def fit(rows: list[tuple[str, bytes]]) -> Model:
-    """A naive Bayes model of (language, text) rows; floors come from rows scored by a model of the other half."""
-    kinds = sorted(k for k in {k for k, _ in rows} if sum(k == x for x, _ in rows) >= MIN_LABELS)
-    grams = [(kinds.index(k), trigrams(t)) for k, t in rows if k in kinds]
-    size = 1 << HASH_BITS
-
-    def table(some: list[tuple[int, np.ndarray]]) -> np.ndarray:
-        counts = np.full((len(kinds), size), 0.5)
-        for k, g in some:
-            counts[k] += np.bincount(g, minlength=size)
-        return np.log(counts / counts.sum(axis=1, keepdims=True)).T.astype(np.float32)
-
-    halves = [table(grams[0::2]), table(grams[1::2])] if grams else []
-    floor = np.full(len(kinds), -np.inf)
-    for k in range(len(kinds)):
-        means = [float(halves[1 - i % 2][g, k].mean()) for i, (x, g) in enumerate(grams) if x == k and len(g) >= FLOOR_TRIGRAMS]
-        if len(means) >= MIN_LABELS:
-            floor[k] = np.mean(means) - max(FLOOR_SD * float(np.std(means)), FLOOR_GAP)
-    return Model(tuple(kinds), table(grams), floor)
+    """A naive Bayes model of (language, text) rows."""
+    kinds = sorted(k for k, n in Counter(k for k, _ in rows).items() if n >= MIN_LABELS)
+    counts = np.full((len(kinds), 1 << HASH_BITS), 0.5)
+    for k, text in rows:
+        if k in kinds:
+            counts[kinds.index(k)] += np.bincount(trigrams(text), minlength=1 << HASH_BITS)
+    share = counts / counts.sum(axis=1, keepdims=True)
+    common = (share > 1 / (1 << HASH_BITS)).any(axis=0)
+    return Model(tuple(kinds), np.vstack([np.log(share), common]).T.astype(np.float32).copy())
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
@@ -97,9 +90,8 @@ def _score(model: Model, strip: bool):
         for b in batches:
             evidence, own, found, plausible = [], [], [], []
             for text in pc.cast(b["text"], pa.binary()).to_pylist():
-                s, size = model.score(_MARKUP.sub(b" ", text) if strip else text)
-                mean = s / max(size, 1)
-                plausible.append((size < FLOOR_TRIGRAMS) | (mean >= model.floor))
+                s, size, known = model.score(_MARKUP.sub(b" ", text) if strip else text)
+                plausible.append(size < JUDGED_TRIGRAMS or known >= MIN_KNOWN * size)
                 s = s * min(1.0, TEXT_WEIGHT / max(size, 1))
                 s -= s.max(initial=-np.inf) if n else 0.0
                 p = np.exp(s)
@@ -107,9 +99,9 @@ def _score(model: Model, strip: bool):
                 own.append(p / p.sum() if size else np.full(n, 1 / max(n, 1)))
                 found.append(size)
             offsets = pa.array(np.arange(b.num_rows + 1) * n, pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else np.empty(0), k)) for x, k in ((evidence, pa.float64()), (own, pa.float64()), (plausible, pa.bool_()))]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else np.empty(0), k)) for x, k in ((evidence, pa.float64()), (own, pa.float64()))]
             rest = [c for c in b.schema.names if c != "text"]
-            yield pa.record_batch([*(b[c] for c in rest), *lists, pa.array(found, pa.int64())], names=[*rest, "evidence", "own", "plausible", "n"])
+            yield pa.record_batch([*(b[c] for c in rest), *lists, pa.array(plausible, pa.bool_()), pa.array(found, pa.int64())], names=[*rest, "evidence", "own", "plausible", "n"])
 
     return run
 
@@ -118,7 +110,7 @@ def scored(rows: DataFrame, model: Model, strip: bool = False) -> DataFrame:
     """Frames of (…, text, markup, host) with the text replaced by its scores."""
     small_batches(rows.sparkSession)
     rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    return rows.mapInArrow(_score(model, strip), f"{rest}, evidence array<double>, own array<double>, plausible array<boolean>, n long")
+    return rows.mapInArrow(_score(model, strip), f"{rest}, evidence array<double>, own array<double>, plausible boolean, n long")
 
 
 def fuse(rows: DataFrame, model: Model) -> DataFrame:
@@ -156,7 +148,7 @@ def fuse(rows: DataFrame, model: Model) -> DataFrame:
     joined = joined.withColumn("score", F.array(*(F.col("evidence")[k] + markup(k) + F.log(prior(k)) for k in ks)))
     joined = joined.withColumn("best", (F.array_position("score", F.array_max("score")) - 1).cast("int"))
     joined = joined.withColumn("probability", 1 / F.aggregate("score", F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max("score"))))
-    kept = letters & (F.col("probability") >= MIN_PROBABILITY) & F.get("plausible", F.col("best"))
+    kept = letters & (F.col("probability") >= MIN_PROBABILITY) & F.col("plausible")
     return joined.select(*rest, F.when(letters, F.get(F.array(*map(F.lit, langs)), F.col("best"))).alias("language"), "probability", kept.alias("kept"))
 
 
