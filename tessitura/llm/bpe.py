@@ -1,14 +1,15 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
-A rolling hash over 32 bytes cuts each text where its content says so: before a space where the hash ends in
-SOFT zero bits, or between any two characters where it ends in HARD. Equal passages of different documents thus
-fall into equal chunks, and a task encodes each chunk once, as long as it stays among the CACHE_BYTES last used.
-Joins at a space are exact by the tokenizer's own rules: white space separates its words, and no normal form joins
-a character with a space. At any other join the text between the nearest spaces on both sides is encoded
-anew and put in place of what the chunks gave for it; if the chunk's own ids don't end (or begin) with the ids of
-that fragment, the seam moves one word further until they agree exactly.
+A rolling hash over 32 bytes cuts each text where its content says so: before a space where the hash's upper SOFT
+bits are zero, or between any two characters where the upper HARD are. Equal passages of different documents thus fall
+into equal chunks, and a chunk met before isn't encoded again; inside a new chunk, the words that white space
+separates are chunks of a second level, reused alike. Joins at white space are exact by the tokenizer's own rules:
+it separates words, and no normal form joins a character with it. At any other join the text between the
+nearest spaces on both sides is encoded anew and put in place of what the chunks gave for it; if a chunk's own ids
+don't end (or begin) with the ids of that fragment, the seam moves one word further until they agree exactly.
 
-Chunks are reused within a task, not across tasks: to exchange them would move the whole corpus once more.
+Chunks are kept with their ids and their decoded text, in two generations of bounded size, for each Python
+worker: to exchange them between tasks would move the whole corpus once more.
 
 Defined cases: a null text counts as empty and has no tokens; ids, nulls and repeated rows pass through; an empty
 table gives an empty result; other columns are not looked at.
@@ -17,8 +18,7 @@ table gives an empty result; other columns are not looked at.
 from __future__ import annotations
 
 import functools
-from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, text_or_empty
 
-SOFT, HARD, CACHE_BYTES = 5, 13, 48 << 20
+SOFT, HARD, CHUNK_BYTES, WORD_BYTES = 5, 15, 12 << 20, 48 << 20
 
 
 def default_tokenizer() -> str:
@@ -61,52 +61,117 @@ def cuts(data: bytes, soft: int = SOFT, hard: int = HARD) -> tuple[np.ndarray, n
     return at + 1, raw[at + 1] == 0x20
 
 
+class Reused:
+    """Ids (as bytes) and decoded text of chunks, in two generations: when the younger is full, the older is forgotten."""
+
+    def __init__(self, limit: int):
+        self.young: dict[bytes, tuple[bytes, str]] = {}
+        self.old: dict[bytes, tuple[bytes, str]] = {}
+        self.held, self.limit = 0, limit
+
+    def again(self, chunks: Iterable[bytes]) -> tuple[dict[bytes, tuple[bytes, str]], list[bytes]]:
+        """What is known of these chunks, and the others."""
+        known, new = {}, []
+        young, old = self.young, self.old
+        back = {}
+        for c in chunks:
+            if (found := young.get(c)) is not None:
+                known[c] = found
+            elif (found := old.get(c)) is not None:
+                known[c] = back[c] = found
+            else:
+                new.append(c)
+        self.put(back)
+        return known, new
+
+    def put(self, made: dict[bytes, tuple[bytes, str]]) -> None:
+        self.young.update(made)
+        self.held += 250 * len(made) + sum(map(len, made)) + sum(len(i) + len(t) for i, t in made.values())
+        if self.held > self.limit:
+            self.old, self.young, self.held = self.young, {}, 0
+
+
 class Codec:
-    """Encodes texts by chunks. One for each Python worker and tokenizer file."""
+    """Encodes and decodes texts by chunks. One for each Python worker and tokenizer file."""
 
-    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES, soft: int = SOFT, hard: int = HARD):
+    def __init__(self, path: str, chunk_bytes: int = CHUNK_BYTES, word_bytes: int = WORD_BYTES, soft: int = SOFT, hard: int = HARD):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.cache: OrderedDict[bytes, np.ndarray] = OrderedDict()
-        self.held, self.cache_bytes, self.soft, self.hard = 0, cache_bytes, soft, hard
+        # Without a decoder, decoding joins the tokens by spaces, so decoded chunks can be joined alike.
+        self.joins = self.tokenizer.decoder is None
+        self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())] if self.joins else []
+        self.mark = "\uf8ff".encode()
+        self.between, self.mark_ids = b" " + self.mark + b" ", self.plain(self.mark.decode())
+        self.chunks, self.words, self.soft, self.hard = Reused(chunk_bytes), Reused(word_bytes), soft, hard
         self.encoded = self.asked = 0  # bytes
 
     def plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces, new = [], {}
+    def _made(self, words: list[bytes]) -> dict[bytes, tuple[bytes, str]]:
+        """The ids (as bytes) and decoded text of words not met before.
+
+        Words are encoded together, a mark between them that none of them holds, whose ids then tell them apart;
+        white space around it keeps it a word of its own. Words that do hold it are encoded alone.
+        """
+        plain = [w for w in words if self.mark not in w]
+        alone = [w for w in words if self.mark in w]
+        out: dict[bytes, tuple[bytes, str]] = {}
+        k = len(self.mark_ids)
+        for at in range(0, len(plain), 4096):
+            some = plain[at : at + 4096]
+            ids = self.plain(self.between.join(some).decode())
+            marked = np.logical_and.reduce([ids[i : len(ids) - k + 1 + i] == m for i, m in enumerate(self.mark_ids)]) if len(ids) >= k else np.empty(0, bool)
+            ends = [*np.flatnonzero(marked).tolist(), len(ids)]
+            if len(ends) != len(some):  # the mark's ids are not its own in this vocabulary
+                alone += some
+                continue
+            raw, said, begin = ids.tobytes(), self._tokens(ids), 0
+            for w, end in zip(some, ends):
+                out[w] = raw[4 * begin : 4 * end], " ".join(said[begin:end])
+                begin = end + k
+        for w in alone:
+            x = self.plain(w.decode())
+            out[w] = x.tobytes(), " ".join(self._tokens(x))
+        self.words.put(out)
+        self.encoded += sum(map(len, words))
+        return out
+
+    def _tokens(self, ids: np.ndarray) -> list[str]:
+        return [self.tokens[i] for i in ids.tolist()] if self.joins else []
+
+    def transcode(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
+        """The ids of texts, and what these decode to."""
+        pieces = []
         for text in texts:
             data = text.encode()
+            self.asked += len(data)
             at, soft = cuts(data, self.soft, self.hard)
             ends = [0, *at.tolist(), len(data)]
-            chunks = [data[a:b] for a, b in zip(ends, ends[1:])]
-            pieces.append((chunks, soft))
-            for c in chunks:
-                if c in self.cache:
-                    self.cache.move_to_end(c)
-                else:
-                    new[c] = None
-        keys = list(new)
-        here = dict(zip(keys, (np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([k.decode() for k in keys], add_special_tokens=False))))
-        self.encoded += sum(map(len, keys))
-        out = []
+            pieces.append(([data[a:b] for a, b in zip(ends, ends[1:])], soft))
+        known, new = self.chunks.again(dict.fromkeys(c for chunks, _ in pieces for c in chunks))
+        inside = [c.split() for c in new]
+        words, missing = self.words.again(set().union(*inside))
+        words |= self._made(missing)
+        made = {}
+        for c, ws in zip(new, inside):
+            parts = [words[w] for w in ws]
+            made[c] = b"".join([x[0] for x in parts]), " ".join([x[1] for x in parts if x[1]])
+        self.chunks.put(made)
+        known |= made
+        ids, said = [], []
         for chunks, soft in pieces:
-            self.asked += sum(map(len, chunks))
-            ids = [here[c] if c in here else self.cache[c] for c in chunks]
-            if not soft.all():
-                ids = self._repaired(chunks, ids, soft)
-            out.append(np.concatenate(ids) if len(ids) > 1 else ids[0])
-        for c, x in here.items():
-            self.cache[c] = x
-            self.held += len(c) + x.nbytes + 200
-        while self.held > self.cache_bytes:
-            c, x = self.cache.popitem(last=False)
-            self.held -= len(c) + x.nbytes + 200
-        return out
+            parts = [known[c] for c in chunks]
+            if soft.all():
+                ids.append(np.frombuffer(b"".join([x[0] for x in parts]), np.int32))
+                said.append(" ".join([x[1] for x in parts if x[1]]) if self.joins else self.decode(ids[-1:])[0])
+            else:
+                ids.append(np.concatenate(self._repaired(chunks, [np.frombuffer(x[0], np.int32) for x in parts], soft)))
+                said.append(" ".join(self._tokens(ids[-1])) if self.joins else self.decode(ids[-1:])[0])
+        return ids, said
 
     def _repaired(self, chunks: list[bytes], ids: list[np.ndarray], soft: np.ndarray) -> list[np.ndarray]:
         """Joins that are not at a space are closed one after another, the closed part being the left chunk of the next."""
@@ -134,6 +199,9 @@ class Codec:
             if not starts:
                 j = b.find(b" ", j + 1)
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return self.transcode(texts)[0]
+
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
 
@@ -143,22 +211,16 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _slices(c: pa.ListArray) -> list[np.ndarray]:
-    values, offsets = c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()
-    return [values[a:b] for a, b in zip(offsets, offsets[1:])]
-
-
-def _encode(path: str):
+def _encode(path: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = codec(path)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                ids = mine.encode(part["text"].to_pylist())
+                ids, said = mine.transcode(part["text"].to_pylist())
                 offsets = np.cumsum([0, *map(len, ids)])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
-                rest = [part[c] for c in part.schema.names if c != "text"]
-                yield pa.record_batch([*rest, lists], names=[*(c for c in part.schema.names if c != "text"), "ids"])
+                yield pa.record_batch([part["id"], lists, *([pa.array(said, pa.string())] * decoded)], names=["id", "ids", *(["text"] * decoded)])
 
     return run
 
@@ -168,17 +230,18 @@ def _decode(path: str):
         mine = codec(path)
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                part = pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(i).slice(at, 256)]) for i in range(b.num_columns)], schema=b.schema)
-                yield part.append_column("text", pa.array(mine.decode(_slices(part["ids"])), pa.string()))
+                ids = [np.array(x, np.int32) for x in b["ids"].slice(at, 256).to_pylist()]
+                yield pa.record_batch([b["id"].slice(at, 256), b["ids"].slice(at, 256), pa.array(mine.decode(ids), pa.string())], names=["id", "ids", "text"])
 
     return run
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """id, ids (the token ids) for every row."""
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, decoded: bool = False) -> DataFrame:
+    """id, ids (the token ids) for every row; with `decoded`, also the text that the ids decode to."""
     small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(_encode(tokenizer or default_tokenizer()), f"id {kind}, ids array<int>")
+    made = "ids array<int>" + ", text string" * decoded
+    return df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(_encode(tokenizer or default_tokenizer(), decoded), f"id {kind}, {made}")
 
 
 def decode(df: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -189,6 +252,6 @@ def decode(df: DataFrame, tokenizer: str | None = None) -> DataFrame:
 def op8_bpe(docs: DataFrame) -> DataFrame:
     """The contract's result: encoded, decoded, and both as digests."""
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return decode(encode(docs)).select(
+    return encode(docs, decoded=True).select(
         F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
     )
