@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, text_or_empty
 
-SOFT, HARD, CHUNK_BYTES, WORD_BYTES = 5, 15, 12 << 20, 48 << 20
+SOFT, HARD, CHUNK_BYTES, WORD_BYTES = 5, 17, 12 << 20, 120 << 20
 
 
 def default_tokenizer() -> str:
@@ -86,7 +86,7 @@ class Reused:
 
     def put(self, made: dict[bytes, tuple[bytes, str]]) -> None:
         self.young.update(made)
-        self.held += 250 * len(made) + sum(map(len, made)) + sum(len(i) + len(t) for i, t in made.values())
+        self.held += 330 * len(made) + 4 * sum(map(len, made))  # about what key, ids and text take
         if self.held > self.limit:
             self.old, self.young, self.held = self.young, {}, 0
 
@@ -103,36 +103,39 @@ class Codec:
         # Without a decoder, decoding joins the tokens by spaces, so decoded chunks can be joined alike.
         self.joins = self.tokenizer.decoder is None
         self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())] if self.joins else []
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.tokenizer.get_vocab_size())]) if suffix else None
         self.mark = "\uf8ff".encode()
         self.between, self.mark_ids = b" " + self.mark + b" ", self.plain(self.mark.decode())
         self.chunks, self.words, self.soft, self.hard = Reused(chunk_bytes), Reused(word_bytes), soft, hard
         self.encoded = self.asked = 0  # bytes
 
     def plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
 
     def _made(self, words: list[bytes]) -> dict[bytes, tuple[bytes, str]]:
-        """The ids (as bytes) and decoded text of words not met before.
+        """The ids (as bytes) and decoded text of words not met before, encoded together.
 
-        Words are encoded together, a mark between them that none of them holds, whose ids then tell them apart;
-        white space around it keeps it a word of its own. Words that do hold it are encoded alone.
+        Words of ASCII letters alone are one unit of the vocabulary each, so where units have an end of their own, the
+        ids tell them apart. Between others stands a mark that none of them holds; white space around it keeps it a
+        word. Words that do hold it are encoded alone, as are all where the counts don't agree.
         """
-        plain = [w for w in words if self.mark not in w]
-        alone = [w for w in words if self.mark in w]
+        simple = [w for w in words if self.ends is not None and w.isalpha()]
+        others = [w for w in words if self.ends is None or not w.isalpha()]
         out: dict[bytes, tuple[bytes, str]] = {}
+        alone = [w for w in others if self.mark in w]
+        marked = [w for w in others if self.mark not in w]
         k = len(self.mark_ids)
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            ids = self.plain(self.between.join(some).decode())
-            marked = np.logical_and.reduce([ids[i : len(ids) - k + 1 + i] == m for i, m in enumerate(self.mark_ids)]) if len(ids) >= k else np.empty(0, bool)
-            ends = [*np.flatnonzero(marked).tolist(), len(ids)]
-            if len(ends) != len(some):  # the mark's ids are not its own in this vocabulary
-                alone += some
-                continue
-            raw, said, begin = ids.tobytes(), self._tokens(ids), 0
-            for w, end in zip(some, ends):
-                out[w] = raw[4 * begin : 4 * end], " ".join(said[begin:end])
-                begin = end + k
+        for at in range(0, max(len(simple), len(marked)), 4096):
+            some = simple[at : at + 4096]
+            if some:
+                ids = self.plain(b" ".join(some).decode())
+                alone += self._split(out, some, ids, (np.flatnonzero(self.ends[ids]) + 1).tolist(), 0)
+            some = marked[at : at + 4096]
+            if some:
+                ids = self.plain(self.between.join(some).decode())
+                hits = np.logical_and.reduce([ids[i : len(ids) - k + 1 + i] == m for i, m in enumerate(self.mark_ids)]) if len(ids) >= k else np.empty(0, bool)
+                alone += self._split(out, some, ids, [*np.flatnonzero(hits).tolist(), len(ids)], k)
         for w in alone:
             x = self.plain(w.decode())
             out[w] = x.tobytes(), " ".join(self._tokens(x))
@@ -140,6 +143,16 @@ class Codec:
         self.encoded += sum(map(len, words))
         return out
 
+    def _split(self, out: dict, words: list[bytes], ids: np.ndarray, ends: list[int], gap: int) -> list[bytes]:
+        """Gives each word its ids; returns the words for which that can't be done."""
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return words
+        raw, said, begin = ids.tobytes(), self._tokens(ids), 0
+        for w, end in zip(words, ends):
+            out[w] = raw[4 * begin : 4 * end], " ".join(said[begin:end])
+            begin = end + gap
+        return []
+
     def _tokens(self, ids: np.ndarray) -> list[str]:
         return [self.tokens[i] for i in ids.tolist()] if self.joins else []
 
