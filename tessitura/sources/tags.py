@@ -494,7 +494,7 @@ class _Text:
         if not self.wide:
             return raw.find(b"\0")
         at = raw.find(b"\0\0")
-        while at % 2 == 1:
+        while at > 0 and at % 2:
             at = raw.find(b"\0\0", at + 1)
         return at
 
