@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..plans.analysis import analysed
-from ..plans.lowering import WORD_BITS, Bag, Lowering, Origin
+from ..plans.lowering import WORD_BITS, Bag, Lowering, Origin, let
 from .catalog import Catalog
 
 CATEGORIES = ("data", "unanswered", "incomplete", "file")
@@ -45,13 +45,19 @@ def compiled(text: str, catalog: Catalog) -> Predicate:
 
 def _quoted(bag: Bag, origins: list[Origin]) -> Column:
     """For each source the earliest of its mentions that was consumed."""
-    seen = lambda i: (F.coalesce(bag.reported[i // WORD_BITS], F.lit(0)).bitwiseAND(1 << i % WORD_BITS)) != 0
     by_source: dict[str, list[int]] = {}
     for i in sorted(range(len(origins)), key=lambda i: origins[i].start):
         if i // WORD_BITS in bag.reported:
             by_source.setdefault(origins[i].source, []).append(i)
-    first = [F.coalesce(*(F.when(seen(i), F.lit(origins[i].text)) for i in mentions)) for mentions in by_source.values()]
-    return F.filter(F.array(*first), lambda x: x.isNotNull()) if first else F.array().cast("array<string>")
+    if not by_source:
+        return F.array().cast("array<string>")
+
+    def texts(words: Column) -> Column:
+        seen = lambda i: F.coalesce(words[f"w{i // WORD_BITS}"], F.lit(0)).bitwiseAND(1 << i % WORD_BITS) != 0
+        first = [F.coalesce(*(F.when(seen(i), F.lit(origins[i].text)) for i in mentions)) for mentions in by_source.values()]
+        return F.filter(F.array(*first), lambda x: x.isNotNull())
+
+    return let(F.struct(*(c.alias(f"w{w}") for w, c in bag.reported.items())), texts)
 
 
 def data_message(source: Column) -> Column:

@@ -278,19 +278,61 @@ class Lowering:
                 truth = F.when(a.absent, F.lit(False)).otherwise(truth)
         return Bag(truth, False, None, {}, a.reported, a.opened)
 
+    # The logical operators. Truth is their operands' own; what they consumed and opened depends on the truths before,
+    # so both are worked out over the leaves' results, each of which is computed once.
+
     def _not(self, t: Typed, text: str) -> Bag:
-        a = self.lower(t.args[0], text)
-        return Bag(~a.values, False, None, {}, a.reported, a.opened)
+        return self._leaf_free(t, text)
+
+    _and = _or = _not
+
+    def _leaf_free(self, t: Typed, text: str) -> Bag:
+        inner: list[Typed] = leaves(t)
+        made = [self.lower(x, text) for x in inner]
+        truth = {id(x): b.values for x, b in zip(inner, made)}
+        words = sorted({w for b in made for w in b.reported})
+
+        def found(s: Column) -> dict[int, tuple[Column, Mask, Flag]]:
+            field = lambda i, b: (s[f"t{i}"], {w: s[f"r{i}_{w}"] for w in b.reported}, b.opened if isinstance(b.opened, bool) else s[f"o{i}"])
+            return {id(x): field(i, b) for i, (x, b) in enumerate(zip(inner, made))}
+
+        columns = [b.values.alias(f"t{i}") for i, b in enumerate(made)]
+        columns += [b.reported[w].alias(f"r{i}_{w}") for i, b in enumerate(made) for w in b.reported]
+        columns += [b.opened.alias(f"o{i}") for i, b in enumerate(made) if not isinstance(b.opened, bool)]
+        once = F.struct(*columns)
+
+        def word(w: int) -> Column:
+            return let(once, lambda s: followed(t, found(s))[1].get(w, F.lit(0).cast("long")))
+
+        reported = {w: word(w) for w in words}
+        opened: Flag = False
+        if any(b.opened is not False for b in made):
+            always = followed(t, {id(x): (F.lit(None), {}, b.opened if isinstance(b.opened, bool) else True) for x, b in zip(inner, made)})[2]
+            opened = True if always is True else let(once, lambda s: _flag(followed(t, found(s))[2]))
+        return Bag(followed(t, {k: (v, {}, False) for k, v in truth.items()})[0], False, None, {}, reported, opened)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _flag(f: Flag) -> Column:
+    return F.lit(f) if isinstance(f, bool) else f
+
 
-    def _settling(self, t: Typed, text: str, settles: bool) -> Bag:
-        a, b = (self.lower(x, text) for x in t.args)
-        goes_on = ~a.values.eqNullSafe(F.lit(settles))
-        reported = both(a.reported, only_if(goes_on, b.reported))
-        opened = either(a.opened, flag_if(goes_on, b.opened))
-        return Bag(a.values | b.values if settles else a.values & b.values, False, None, {}, reported, opened)
+def leaves(t: Typed) -> list[Typed]:
+    """The conditions below logical operators, in order."""
+    return [x for a in t.args for x in leaves(a)] if t.kind in ("not", "and", "or") else [t]
 
-    def _and(self, t: Typed, text: str) -> Bag:
-        return self._settling(t, text, False)
 
-    def _or(self, t: Typed, text: str) -> Bag:
-        return self._settling(t, text, True)
+def followed(t: Typed, found: dict[int, tuple[Column, Mask, Flag]]) -> tuple[Column, Mask, Flag]:
+    """Truth, consumed defects and opening of a tree over its leaves' results: a settled operator stops before its right side."""
+    if t.kind not in ("not", "and", "or"):
+        return found[id(t)]
+    parts = [followed(a, found) for a in t.args]
+    if t.kind == "not":
+        return ~parts[0][0], parts[0][1], parts[0][2]
+    (a, ra, oa), (b, rb, ob) = parts
+    goes_on = ~a.eqNullSafe(F.lit(t.kind == "or"))
+    return (a | b if t.kind == "or" else a & b), both(ra, only_if(goes_on, rb)), either(oa, flag_if(goes_on, ob))
