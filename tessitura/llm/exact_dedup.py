@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, durable, scratch_path, text_or_empty
+from .common import SPACE_CLASS, durable, fresh, scratch_path, text_or_empty
 
 SCHEMA = "digest BINARY, keep_id BIGINT, keep_seq BIGINT, batch STRING"
 
@@ -59,7 +59,8 @@ class DigestIndex:
             .write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.table)
         )
         self.spark.catalog.refreshTable(self.table)
-        stays = self.scan().join(groups.select("digest", "group_size"), "digest")
+        # Stored, so that both sides of the last join are exchanged and a hot digest can be split at run time.
+        stays = durable(self.scan().join(groups.select("digest", "group_size"), "digest"), "stays")
         mine = (F.col("batch") == batch) & (F.col("keep_seq") == F.col("seq"))
         return seen.join(stays, "digest").select("id", "digest", "keep_id", "group_size", mine.alias("kept"))
 
@@ -78,13 +79,11 @@ def op5_exact_dedup(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents whose row stays, with all their columns."""
-    kept = fresh_index(docs.sparkSession).add(docs).filter("kept").select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
-    marked = docs.withColumn("__d", digest())
-    return (
-        marked.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__d") == F.col("__digest")), "left_semi")
-        .dropDuplicates(["doc_id", "__d"])
-        .drop("__d")
-    )
+    kept = fresh_index(docs.sparkSession).add(docs).filter("kept").select("id", "digest")
+    own = fresh(docs, "own_digest")
+    marked = docs.withColumn(own, digest())
+    same = marked["doc_id"].eqNullSafe(kept["id"]) & (marked[own] == kept["digest"])
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", own]).drop(own)
 
 
 ORACLE = r"""
