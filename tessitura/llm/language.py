@@ -182,6 +182,6 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_known(docs: DataFrame) -> DataFrame:
     """The documents whose language is known, with all their columns."""
     model = train(docs)
-    known = fuse(durable(scored(of_documents(docs), model), "scores"), model).filter("kept").select(F.col("doc_id").alias("__id"), F.col("rid").alias("__rid"))
-    same = docs["doc_id"].eqNullSafe(known["__id"]) & (F.xxhash64(text_or_empty("text")) == known["__rid"])
+    known = fuse(durable(scored(of_documents(docs), model), "scores"), model).filter("kept").select(F.col("doc_id").alias("id"), "rid")
+    same = docs["doc_id"].eqNullSafe(known["id"]) & (F.xxhash64(text_or_empty("text")) == known["rid"])
     return docs.join(known, same, "left_semi")

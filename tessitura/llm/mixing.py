@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES, durable, text_or_empty
+from .common import SPACE_CLASS, SPACES, durable, fresh, text_or_empty
 
 WEIGHTS, CAP, SEED, PLACES = (5, 2, 1), 3, 17, 20
 
@@ -85,12 +85,14 @@ def op2_mixing(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents with all their columns, each as many times as the mix takes it.
 
-    Rows with one id and one text share the number of copies of the first of them, so that each is judged alike.
+    Rows with one id and one text are each taken as often as the one of them that is taken least.
     """
-    share = mix(docs, **options).groupBy("id", "rid").agg(F.first("copies").alias("__copies")).filter("__copies > 0")
-    share = share.withColumnsRenamed({"id": "__id", "rid": "__rid"})
-    same = docs["doc_id"].eqNullSafe(share["__id"]) & (F.xxhash64(text_or_empty("text")) == share["__rid"])
-    return docs.join(share, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    mine = {c: fresh(docs, f"mix_{c}") for c in ("id", "rid", "copies", "copy")}
+    share = mix(docs, **options).groupBy("id", "rid").agg(F.min("copies").alias("copies")).filter("copies > 0")
+    share = share.withColumnsRenamed({c: mine[c] for c in share.columns})
+    same = docs["doc_id"].eqNullSafe(share[mine["id"]]) & (F.xxhash64(text_or_empty("text")) == share[mine["rid"]])
+    each = F.explode(F.sequence(F.lit(1), F.col(mine["copies"]).cast("int")))
+    return docs.join(share, same).withColumn(mine["copy"], each).select(*docs.columns)
 
 
 ORACLE = r"""

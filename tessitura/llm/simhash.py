@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, parts, small_batches, text_or_empty
+from .common import durable, fresh, parts, small_batches, text_or_empty
 from .components import components
 
 SHINGLE, SEED, BUDGET, NODE_LIMIT = 3, 42, 2, 20_000
@@ -180,7 +180,8 @@ def op9_simhash(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group (the one with the smallest id), with all its columns."""
     first = classes(docs).filter("id = component").groupBy("component").agg(F.min(F.struct("rid")).alias("r"))
-    first = first.select(F.nullif("component", F.lit(_LOWEST)).alias("__id"), F.col("r.rid").alias("__rid"))
-    marked = docs.withColumn("__r", F.xxhash64(text_or_empty("text")))
-    same = marked["doc_id"].eqNullSafe(first["__id"]) & (marked["__r"] == first["__rid"])
-    return marked.join(first, same, "left_semi").dropDuplicates(["doc_id", "__r"]).drop("__r")
+    first = first.select(F.nullif("component", F.lit(_LOWEST)).alias("id"), F.col("r.rid").alias("rid"))
+    own = fresh(docs, "own_rid")
+    marked = docs.withColumn(own, F.xxhash64(text_or_empty("text")))
+    same = marked["doc_id"].eqNullSafe(first["id"]) & (marked[own] == first["rid"])
+    return marked.join(first, same, "left_semi").dropDuplicates(["doc_id", own]).drop(own)
