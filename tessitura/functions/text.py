@@ -12,6 +12,7 @@ all other rows look null.
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -44,8 +45,11 @@ def fold(c: str) -> str:
     return up.lower() if len(up.lower()) == 1 else up
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
 def repaired(text: str) -> str:
-    return text if text.isascii() else "".join("�" if "\ud800" <= c <= "\udfff" else c for c in text)
+    return _LONE.sub("\ufffd", text)
 
 
 @functools.lru_cache(1 << 14)
@@ -54,22 +58,46 @@ def _kind(c: str) -> tuple[bool, bool, bool]:
     return _within(ord(c), IGNORABLE), unicodedata.category(c)[0] == "M", _within(ord(c), LATIN_GREEK)
 
 
-def normalized(text: str) -> str:
-    if text.isascii():
-        return text.lower()
+class _Folds(dict):
+    """What becomes of a code point that no mark depends on, filled as it is asked for."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        folded = fold(c)
+        self[code] = "" if _kind(c)[0] else SPELLED.get(folded, folded)
+        return self[code]
+
+
+class _Marks(dict):
+    def __missing__(self, c: str) -> bool:
+        self[c] = _kind(c)[1]
+        return self[c]
+
+
+_FOLDS, _MARKS = _Folds(), _Marks()
+
+
+def _without_marks(text: str) -> str:
+    """Decomposed text without the marks that go: those on Latin and Greek letters, and the dots of Cyrillic e."""
     out: list[str] = []
     base, bare = "", False
-    for c in unicodedata.normalize("NFKD", repaired(text)):
+    for c in text:
         ignorable, mark, plain = _kind(c)
-        if ignorable:
-            continue
         if not mark:
-            base, bare = c, plain
-        elif bare or c == "̈" and base in ("е", "Е"):
-            continue
-        folded = fold(c)
-        out.append(SPELLED.get(folded, folded))
-    return unicodedata.normalize("NFC", "".join(out))
+            base, bare = (base, bare) if ignorable else (c, plain)
+            out.append(c)
+        elif not (bare or c == "\u0308" and base in ("\u0435", "\u0415")):
+            out.append(c)
+    return "".join(out)
+
+
+def normalized(text: str) -> str:
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFKD", repaired(text))
+    if any(map(_MARKS.__getitem__, set(text))):
+        text = _without_marks(text)
+    return unicodedata.normalize("NFC", text.translate(_FOLDS))
 
 
 def literal(text: str) -> str:
@@ -83,22 +111,33 @@ def prepared(text: str, literally: bool) -> str:
 _JVM_LIMIT = 0x250  # characters below it are handled by tables, but for those that become more than a pair
 
 
+def _ranges(codes: list[int]) -> str:
+    """A character class of sorted code points, as ranges."""
+    out, begin = [], None
+    for i, c in enumerate(codes):
+        begin = c if begin is None else begin
+        if i + 1 == len(codes) or codes[i + 1] != c + 1:
+            out.append(f"\\x{{{begin:x}}}-\\x{{{c:x}}}")
+            begin = None
+    return "[" + "".join(out) + "]"
+
+
 @functools.cache
 def _tables() -> tuple[str, str, tuple[tuple[str, str], ...], str]:
     """For the JVM: characters and their replacements one to one, those that become two, and a class of all handled."""
-    ones, pairs, handled = [], [], ["\\x00-\\x7f"]
+    ones, pairs, handled = [], [], list(range(0x80))
     for code in range(0x41, _JVM_LIMIT):
         c = chr(code)
         new = normalized(c)
         if 0x5A < code < 0x80 or _kind(c)[0] or unicodedata.category(c) == "Cc":
             continue
         if len(new) == 1 or c in ("ß", "æ", "Æ", "œ", "Œ", "þ", "Þ"):
-            handled += [c] * (code >= 0x80)
+            handled += [code] * (code >= 0x80)
             if len(new) == 1 and new != c:
                 ones.append((c, new))
             elif len(new) > 1:
                 pairs.append((c, new))
-    return "".join(a for a, _ in ones), "".join(b for _, b in ones), tuple(pairs), "^[" + "".join(handled) + "]*\\z"
+    return "".join(a for a, _ in ones), "".join(b for _, b in ones), tuple(pairs), "^" + _ranges(handled) + "*\\z"
 
 
 def _jvm(c: Column) -> Column:
@@ -108,9 +147,17 @@ def _jvm(c: Column) -> Column:
     return F.translate(c, old, new)
 
 
+def _ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.char_length(c)
+
+
 def _simple(c: Column, literally: bool) -> Column:
     # Below U+0300 text is in normal form C already.
-    return c.rlike("^[\\x00-\\u02ff]*\\z") if literally else c.rlike(_tables()[3])
+    return _ascii(c) | (c.rlike("^[\\x00-\\u02ff]*\\z") if literally else c.rlike(_tables()[3]))
+
+
+def _easy(c: Column, literally: bool) -> Column:
+    return c if literally else F.when(_ascii(c), F.lower(c)).otherwise(_jvm(c))
 
 
 def _udf(one: Callable[[str], str], kind: str):
@@ -127,12 +174,11 @@ def _udf(one: Callable[[str], str], kind: str):
 def prepare(c: Column, literally: bool, bag: bool) -> Column:
     """A string column, or an array of strings, prepared; nulls stay."""
     one = literal if literally else normalized
-    easy = (lambda x: x) if literally else _jvm
     if not bag:
         slow = _scalar_udf(literally)
-        return F.when(_simple(c, literally), easy(c)).otherwise(slow(F.when(~_simple(c, literally), c)))
+        return F.when(_simple(c, literally), _easy(c, literally)).otherwise(slow(F.when(~_simple(c, literally), c)))
     plain = F.forall(c, lambda x: F.coalesce(_simple(x, literally), F.lit(True)))
-    return F.when(plain, F.transform(c, easy)).otherwise(_udf(one, "array")(F.when(~plain, c)))
+    return F.when(plain, F.transform(c, lambda x: _easy(x, literally))).otherwise(_udf(one, "array")(F.when(~plain, c)))
 
 
 def _scalar_udf(literally: bool):
