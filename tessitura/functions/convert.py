@@ -75,8 +75,11 @@ def _group(c: Column, pattern: str, k: int) -> Column:
 
 
 def number_from_text(c: Column) -> Column:
+    """Text that is a number literal and nothing else. What a narrow decimal holds is cast; only longer text is taken apart."""
+    short = c.rlike(r"^[+-]?(?:[0-9]{1,20}(?:\.[0-9]{1,9})?|\.[0-9]{1,9})\z")
     shaped = c.rlike(r"^[+-]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)\z")
-    return F.when(shaped, _wide(_group(c, _NUMBER, 2), _group(c, _NUMBER, 3), _group(c, _NUMBER, 1) == "-"))
+    long = _wide(_group(c, _NUMBER, 2), _group(c, _NUMBER, 3), _group(c, _NUMBER, 1) == "-")
+    return F.when(short, widened(c.try_cast(NARROW))).when(shaped, long)
 
 
 def _integer(c: Column, pattern: str, k: int, by: int = 1) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -134,12 +135,17 @@ def objects(rows: DataFrame, algorithm: str | None = None) -> DataFrame:
 _ESCAPED = {c: f"\\u{ord(c):04X}" for c in "<>&'+`"}
 
 
+def _escape(m: re.Match) -> str:
+    """Escapes in upper case, a quote among them."""
+    return "\\u0022" if m[1] == '"' else "\\u" + m[1][1:].upper() if m[1][0] == "u" and len(m[1]) == 5 else m[0]
+
+
 def json_array(rows: DataFrame, algorithm: str | None = None) -> Iterator[str]:
     """An indented JSON array, a row at a time; outside ASCII, and where HTML might mind, characters are escaped."""
     first = True
     for r in objects(rows, algorithm).toLocalIterator():
-        text = json.dumps(json.loads(r["line"]), indent=2)
-        text = "".join(_ESCAPED.get(c, c) for c in text).replace('\\"', "\\u0022")
+        text = re.sub(r"\\(u[0-9a-f]{4}|.)", _escape, json.dumps(json.loads(r["line"]), indent=2))
+        text = "".join(_ESCAPED.get(c, c) for c in text)
         yield ("[\n" if first else ",\n") + "\n".join("  " + x for x in text.split("\n"))
         first = False
     yield "[]\n" if first else "\n]\n"
