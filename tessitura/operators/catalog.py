@@ -18,6 +18,9 @@ from ..functions.convert import NARROW, NUMERIC
 from ..plans.diagnostics import closest
 
 
+COMPARED = ("tinyint", "smallint", "int", "bigint", "double")
+
+
 @dataclass(frozen=True)
 class Identifier:
     name: str
@@ -28,7 +31,7 @@ class Identifier:
     bag: bool = False  # the column is an array
     unreadable: bool = True  # an occurrence may be unusable
     opens: bool = False  # reading it opens the file
-    spark_type: str = ""  # of a plain column, where known
+    spark_type: str = ""  # of a plain column, or of a bag's elements, where known
 
 
 @dataclass(frozen=True)
@@ -99,7 +102,8 @@ def present(bag: Column) -> Column:
 
 
 def as_bag(c: Column, kind: str, element: T.DataType) -> Column:
-    if kind in NUMERIC and element.simpleString() != NARROW:
+    """Numbers keep a type in which Spark compares them exactly; any other becomes a narrow decimal."""
+    if kind in NUMERIC and element.simpleString() not in (NARROW, *COMPARED):
         c = F.transform(c, lambda x: x.cast(NARROW))
     return present(c)
 
@@ -119,5 +123,7 @@ def frame_catalog(df: DataFrame, declared: dict[str, tuple]) -> Catalog:
         if not bag and bounds not in ("1..1", "0..1"):
             raise ValueError(f"{name} may hold several values, so its column must be an array")
         c = as_bag(c, kind, field.dataType.elementType) if bag else c
-        out[source or None, own] = Identifier(name, kind, c, bounds[0] == "1", bounds[-1] != "1", bag, bag or bounds == "1..1", False, "" if bag else field.dataType.simpleString())
+        held = (field.dataType.elementType if bag else field.dataType).simpleString()
+        held = NARROW if bag and kind in NUMERIC and held not in COMPARED else held
+        out[source or None, own] = Identifier(name, kind, c, bounds[0] == "1", bounds[-1] != "1", bag, bag or bounds == "1..1", False, held)
     return Catalog(out)

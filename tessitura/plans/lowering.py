@@ -22,6 +22,7 @@ from .analysis import Typed
 
 WORD_BITS = 60
 INTEGRAL = ("tinyint", "smallint", "int", "bigint")
+EXACT_IN_DOUBLE = {"tinyint", "smallint", "int", "double"}
 
 
 @dataclass(frozen=True)
@@ -72,9 +73,14 @@ class Bag:
     reported: Mask = field(default_factory=dict)  # consumed while it was worked out
     opened: Flag = False
     wide: bool = False
-    spark_type: str = ""
+    spark_type: str = ""  # of a number, or of a bag's numbers, where it isn't a narrow decimal
     may_fail: bool = True
 
+    def narrowed(self) -> None:
+        """Numbers of another type as narrow decimals."""
+        if not self.wide and self.spark_type not in ("", convert.NARROW):
+            self.values, self.spark_type = self.elementwise(lambda x: x.cast(convert.NARROW)), convert.NARROW
+
     def array(self) -> Column:
         return self.values if self.bag else F.array(self.values) if self.absent is None else F.when(~self.absent, F.array(self.values))
 
@@ -115,8 +121,8 @@ class Lowering:
     def _convert(self, t: Typed, text: str) -> Bag:
         a = self.lower(t.args[0], text)
         source, target = t.value
-        if source in convert.NUMERIC and not a.wide and a.spark_type != convert.NARROW and not a.bag:
-            a.values = a.values.cast(convert.NARROW)
+        if source in convert.NUMERIC:
+            a.narrowed()
         wide = convert.converted(F.lit(None), source, target, a.wide)[1]
         one = lambda x: convert.converted(x, source, target, a.wide)[0]
         lost = lambda x: x.isNotNull() & one(x).isNull()
@@ -150,8 +156,8 @@ class Lowering:
         for b in bags:
             if wide and not b.wide:
                 b.values, b.wide = b.elementwise(convert.widened), True
-            elif not wide and b.spark_type not in (convert.NARROW,) and not b.bag:
-                b.values = b.values.cast(convert.NARROW)
+            elif not wide:
+                b.narrowed()
         return list(bags)
 
     def _preferred(self, t: Typed, text: str) -> Bag:
@@ -196,7 +202,7 @@ class Lowering:
         if t.args[0].type not in convert.NUMERIC:
             return
         for x, y, constant in ((a, b, t.args[1]), (b, a, t.args[0])):
-            if constant.constant and not x.bag and x.spark_type and not x.wide:
+            if constant.constant and x.spark_type and not x.wide:
                 value = constant.value
                 if x.spark_type in INTEGRAL and value == value.to_integral_value() and abs(value) < 2**31:
                     y.values, y.wide = F.lit(int(value)), False
@@ -204,7 +210,7 @@ class Lowering:
                 if x.spark_type == "double" and float(value) == value:
                     y.values, y.wide = F.lit(float(value)), False
                     return
-        if a.spark_type in INTEGRAL and b.spark_type in INTEGRAL:
+        if {a.spark_type, b.spark_type} <= set(INTEGRAL) or {a.spark_type, b.spark_type} <= EXACT_IN_DOUBLE:
             return
         self._same_width(a, b)
 
@@ -244,16 +250,16 @@ class Lowering:
         low, high = t.value
         if t.args[0].type == "string":
             test = lambda x: (F.substring(x, 1, len(low)) >= F.lit(low)) & (F.substring(x, 1, len(high)) <= F.lit(high))
-        elif not b.bag and b.spark_type in INTEGRAL and all(v == v.to_integral_value() and abs(v) < 2**31 for v in t.value):
+        elif b.spark_type in INTEGRAL and all(v == v.to_integral_value() and abs(v) < 2**31 for v in t.value):
             test = lambda x: (x >= F.lit(int(low))) & (x <= F.lit(int(high)))
-        elif not b.bag and b.spark_type == "double" and all(float(v) == v for v in t.value):
+        elif b.spark_type == "double" and all(float(v) == v for v in t.value):
             test = lambda x: (x >= F.lit(float(low))) & (x <= F.lit(float(high)))
         else:
             wide = b.wide or not all(map(convert.narrow_enough, t.value))
             if wide and not b.wide:
                 b.values = b.elementwise(convert.widened)
-            elif not wide and not b.bag:
-                b.values = b.values.cast(convert.NARROW)
+            elif not wide:
+                b.narrowed()
             lo, hi = (convert.number(v, wide) for v in t.value)
             test = lambda x: F.when(x.isNotNull(), (x >= lo) & (x <= hi))
         return self._decided([b], self._over(b, t.quantifiers[0] == "ALL", test))
