@@ -14,12 +14,10 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
-from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 # Unicode's Default_Ignorable_Code_Point, the blocks of Latin and Greek letters, and letters spelled out.
 IGNORABLE = (
@@ -160,34 +158,35 @@ def _easy(c: Column, literally: bool) -> Column:
     return c if literally else F.when(_ascii(c), F.lower(c)).otherwise(_jvm(c))
 
 
-def _udf(one: Callable[[str], str], kind: str):
-    if kind == "string":
-        return pandas_udf(lambda s: s.map(lambda x: None if x is None else one(x)), "string")
+@functools.cache
+def _udf(literally: bool, bag: bool):
+    """The Python side over Arrow arrays; batches in which every row was prepared by the JVM pass untouched."""
+    one = literal if literally else normalized
+
+    def strings(a: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else one(x) for x in a.to_pylist()], pa.string())
 
-    def bags(s: pd.Series) -> pd.Series:
-        return s.map(lambda xs: None if xs is None else [None if x is None else one(x) for x in xs])
+    def scalars(a: pa.Array) -> pa.Array:
+        return a if a.null_count == len(a) else strings(a)
 
-    bags.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return pandas_udf(bags, "array<string>")
+    def bags(a: pa.Array) -> pa.Array:
+        if a.null_count == len(a):
+            return a
+        rows = [None if x is None else [None if y is None else one(y) for y in x] for x in a.to_pylist()]
+        return pa.array(rows, pa.list_(pa.string()))
+
+    for f in (scalars, bags):
+        f.__annotations__ = {"a": pa.Array, "return": pa.Array}
+    return F.arrow_udf(bags, "array<string>") if bag else F.arrow_udf(scalars, "string")
 
 
 def prepare(c: Column, literally: bool, bag: bool) -> Column:
     """A string column, or an array of strings, prepared; nulls stay."""
-    one = literal if literally else normalized
+    slow = _udf(literally, bag)
     if not bag:
-        slow = _scalar_udf(literally)
         return F.when(_simple(c, literally), _easy(c, literally)).otherwise(slow(F.when(~_simple(c, literally), c)))
     plain = F.forall(c, lambda x: F.coalesce(_simple(x, literally), F.lit(True)))
-    return F.when(plain, F.transform(c, lambda x: _easy(x, literally))).otherwise(_udf(one, "array")(F.when(~plain, c)))
-
-
-def _scalar_udf(literally: bool):
-    one = literal if literally else normalized
-
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else one(x))
-
-    return pandas_udf(run, "string")
+    return F.when(plain, F.transform(c, lambda x: _easy(x, literally))).otherwise(slow(F.when(~plain, c)))
 
 
 def trim(c: Column) -> Column:
