@@ -115,7 +115,8 @@ def bytecount_from_text(c: Column) -> Column:
     factor = F.lit(1).cast("decimal(13,0)")
     for name, by in BYTE_UNITS.items():
         factor = F.when(unit == name[:-1], F.lit(Decimal(by)).cast("decimal(13,0)")).otherwise(factor)
-    product = F.try_multiply(F.coalesce(F.nullif(digits, F.lit("")), F.lit("0")).try_cast("decimal(25,0)"), factor).cast("string")
+    whole = F.coalesce(F.nullif(digits, F.lit("")), F.lit("0"))
+    product = F.when(unit == "", whole).otherwise(F.try_multiply(whole.try_cast("decimal(38,0)"), factor).cast("string"))
     padded = F.lpad(product, F.greatest(F.length(product), F.length(places) + 1), F.lit("0"))
     at = F.length(padded) - F.length(places)
     read = _wide(F.substring(padded, F.lit(1), at), F.substring(padded, at + 1, F.length(places)), F.lit(False))
@@ -143,7 +144,7 @@ def text_of(c: Column, wide: bool, suffix: str = "") -> Column:
         # Fractions print with an exponent when small, so their digits are taken from whole numbers, half at a time.
         tens = F.lit(Decimal(10) ** 14).cast("decimal(15,0)")
         upper = F.floor(F.abs(c["f"]) * tens).cast("decimal(15,0)")
-        lower = ((F.abs(c["f"]) * tens).cast("decimal(38,14)") - upper).cast("decimal(15,14)") * tens
+        lower = ((F.abs(c["f"]) * tens).cast("decimal(30,14)") - upper).cast("decimal(15,14)") * tens
         part = F.concat(F.lpad(upper.cast("string"), 14, "0"), F.lpad(lower.cast("decimal(15,0)").cast("string"), 14, "0"))
         part = F.regexp_replace(part, "0+\\z", "")
         whole = F.abs(c["i"]).cast("string")

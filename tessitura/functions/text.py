@@ -27,7 +27,7 @@ IGNORABLE = (
 )
 LATIN_GREEK = ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x2AF), (0x370, 0x3FF), (0x1D00, 0x1DBF), (0x1E00, 0x1FFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xAB30, 0xAB6F))
 SPELLED = {"ø": "o", "æ": "ae", "œ": "oe", "ß": "ss", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ħ": "h"}
-TRIMMED = "\t-\r \x85\xa0  -     　"
+TRIMMED = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"  # white space, as a class of both Python and Java
 
 
 def _within(code: int, ranges: tuple[tuple[int, int], ...]) -> bool:
@@ -193,5 +193,8 @@ def trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{TRIMMED}]+|[{TRIMMED}]+\\z", "")
 
 
+_ENDS = re.compile(f"^[{TRIMMED}]+|[{TRIMMED}]+\\Z")
+
+
 def trimmed(text: str) -> str:
-    return text.strip("\t\n\x0b\x0c\r \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　")
+    return _ENDS.sub("", text)

@@ -215,3 +215,16 @@ def test_many_origins_and_wide_numbers(spark):
     assert df.select(compiled(text, names).consumed.alias("w")).first()["w"] == ["s AS NUMBER"]
     for p, t in (("n AS NUMBER == 0.1234567890123", True), ("n AS NUMBER == 0.1234567890124", False), ("n AS NUMBER > 12345678901234567890123456788", True), ('n AS NUMBER AS STRING == "0.1234567890123"', True), ("n AS NUMBER BETWEEN 0.12..0.13", True)):
         assert df.select(compiled(p, names).truth.alias("t")).first()["t"] is t, p
+
+
+def test_text_converts_like_literals_read(spark):
+    from tessitura.functions import convert
+
+    rng = random.Random(1)
+    xs = ["12345678901234567890123456789b", "0.12345678901234567890123456kb", "79228162514264337593543950335", "79228162514264337593543950336", "1.4KiB", "5.b", " 5", "1m1h", "3:60", "250:00:00", "0.0000001", "7.9228162514264337593543950335", "0" * 37 + "1", ""]
+    xs += ["".join(rng.choice("0123456789.:hmskbi+- ") for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    df = spark.createDataFrame([(x,) for x in xs], "s string")
+    for kind, read in (("number", convert.number_from_text), ("duration", convert.duration_from_text), ("bytecount", convert.bytecount_from_text)):
+        for r in df.select("s", convert.text_of(read(F.col("s")), True).alias("t")).collect():
+            value = convert.constant(r["s"], "string", kind)
+            assert r["t"] == (None if value is None else convert.canonical(value)), (kind, r["s"])
