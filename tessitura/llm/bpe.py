@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, text_or_empty
 
-SOFT, HARD, CHUNK_BYTES, WORD_BYTES = 5, 17, 12 << 20, 120 << 20
+SOFT, HARD, CHUNK_BYTES, WORD_BYTES = 5, 17, 12 << 20, 80 << 20
 
 
 def default_tokenizer() -> str:
