@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, text_or_empty
 
-SOFT, HARD, CHUNK_BYTES, WORD_BYTES = 5, 17, 12 << 20, 80 << 20
+SOFT, HARD, CHUNK_BYTES, WORD_BYTES = 5, 17, 12 << 20, 120 << 20
 
 
 def default_tokenizer() -> str:
@@ -220,13 +220,13 @@ class Codec:
 
 
 @functools.cache
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(path: str, word_bytes: int = WORD_BYTES) -> Codec:
+    return Codec(path, word_bytes=word_bytes)
 
 
-def _encode(path: str, decoded: bool):
+def _encode(path: str, decoded: bool, word_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = codec(path)
+        mine = codec(path, word_bytes)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
@@ -249,12 +249,12 @@ def _decode(path: str):
     return run
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, decoded: bool = False) -> DataFrame:
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, decoded: bool = False, word_bytes: int = WORD_BYTES) -> DataFrame:
     """id, ids (the token ids) for every row; with `decoded`, also the text that the ids decode to."""
     small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     made = "ids array<int>" + ", text string" * decoded
-    return df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(_encode(tokenizer or default_tokenizer(), decoded), f"id {kind}, {made}")
+    return df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(_encode(tokenizer or default_tokenizer(), decoded, word_bytes), f"id {kind}, {made}")
 
 
 def decode(df: DataFrame, tokenizer: str | None = None) -> DataFrame:
