@@ -158,7 +158,6 @@ def _easy(c: Column, literally: bool) -> Column:
     return c if literally else F.when(_ascii(c), F.lower(c)).otherwise(_jvm(c))
 
 
-@functools.cache
 def _udf(literally: bool, bag: bool):
     """The Python side over Arrow arrays; batches in which every row was prepared by the JVM pass untouched."""
     one = literal if literally else normalized
@@ -170,7 +169,7 @@ def _udf(literally: bool, bag: bool):
         return a if a.null_count == len(a) else strings(a)
 
     def bags(a: pa.Array) -> pa.Array:
-        if a.null_count == len(a):
+        if not len(a.flatten()):
             return a
         rows = [None if x is None else [None if y is None else one(y) for y in x] for x in a.to_pylist()]
         return pa.array(rows, pa.list_(pa.string()))
@@ -186,7 +185,10 @@ def prepare(c: Column, literally: bool, bag: bool) -> Column:
     if not bag:
         return F.when(_simple(c, literally), _easy(c, literally)).otherwise(slow(F.when(~_simple(c, literally), c)))
     plain = F.forall(c, lambda x: F.coalesce(_simple(x, literally), F.lit(True)))
-    return F.when(plain, F.transform(c, lambda x: _easy(x, literally))).otherwise(slow(F.when(~plain, c)))
+    return F.when(plain, F.transform(c, lambda x: _easy(x, literally))).when(
+        # Rows that are done already send an empty array: Arrow's writer takes quadratic time over null ones.
+        c.isNotNull(), slow(F.when(~plain, c).otherwise(F.array().cast("array<string>")))
+    )
 
 
 def trim(c: Column) -> Column:
