@@ -34,7 +34,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     except (PredicateError, PathError, ValueError) as e:
         print(e, file=sys.stderr)
         return 2
-    rows, counts = done.rows.cache(), done.counts.first()
+    done.files.persist()
+    rows, counts = done.rows, done.counts.first()
     if style == "json":
         for piece in json_array(rows, algorithm):
             sys.stdout.write(piece)
@@ -44,6 +45,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     said = [(p, "file", m) for p, m in done.walked if "file" not in silent] + [tuple(r) for r in done.warnings.toLocalIterator()]
     for path, category, message in [*said, *(("", c, m) for c, m in last_warnings(counts, silent))]:
         print(f"{category}: {path + ': ' if path else ''}{message}", file=sys.stderr)
+    done.files.unpersist()
     return status(counts, done.walked, silent, given.strict)
 
 

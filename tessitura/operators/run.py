@@ -37,8 +37,12 @@ def suppressed(written: str | None) -> frozenset[str]:
 
 @dataclass
 class Run:
-    """Rows by file (path, matched, hash), warnings (path, category, message), and the counts of the whole run."""
+    """Rows by file (path, hash), warnings (path, category, message), and the counts of the whole run.
 
+    All three are made of `files`; whoever needs more than one of them persists it, so that each file is read once.
+    """
+
+    files: DataFrame
     rows: DataFrame
     warnings: DataFrame
     counts: DataFrame
@@ -99,7 +103,7 @@ def run(spark: SparkSession, specs: list[str], where: str | None = None, algorit
     found = discovered(specs)
     files = judged(files_frame(spark, found.files), predicate, catalog, algorithm, policy)
     shown = files if algorithm else files.filter(F.col("disposition") == "matched")
-    return Run(shown.select("path", "hash"), warnings_of(files, silent), counts_of(files), found.warnings)
+    return Run(files, shown.select("path", "hash"), warnings_of(files, silent), counts_of(files), found.warnings)
 
 
 def last_warnings(counts: Row, silent: Iterable[str] = ()) -> list[tuple[str, str]]:
