@@ -9,9 +9,11 @@ counts it is judged by. A text counts as TEXT_WEIGHT trigrams at most, since its
 The trigram model is fitted on a bounded sample of labelled rows: TRAIN_ROWS rows in order of a hash of their id,
 TRAIN_CHARS characters of each. Scores, counts and decisions cover all rows and whole texts.
 
-A row is rejected if it has no letters, if no language reaches MIN_PROBABILITY, or if, in a text of JUDGED_TRIGRAMS
-or more, fewer than MIN_KNOWN of the trigrams are common (more than an even share) in any language of the model: such
-a text is in none of them. Short texts, and texts of the model's languages in unusual words, pass.
+A row is rejected if it has no letters, if no language reaches MIN_PROBABILITY, or if a text of JUDGED_TRIGRAMS or
+more lies below the floor of the language it would get, in its mean log probability by trigram: FLOOR_SHARE of the way
+(FLOOR_GAP at least) from what the language's sample shows, each half scored by a model of the other, down to what the
+sample's letters show in random order, and lower by the standard error of a mean of so few trigrams. Probabilities among the model's languages alone can't tell that a text is in none
+of them. Short texts pass; texts that are far from all that was labelled go, even if a reader would know their language.
 
 Defined cases: a null or empty text has no letters and is rejected, with a null language; a null host has the
 prior of all rows; a declared language that the model doesn't know is no evidence; without any labelled row nothing
@@ -35,7 +37,7 @@ from .common import documents, durable, small_batches, text_or_empty
 
 TRAIN_ROWS, TRAIN_CHARS, MIN_LABELS = 4_000, 3_000, 5
 TEXT_WEIGHT, PULL, MIN_PROBABILITY = 200, 5.0, 0.5
-MIN_KNOWN, JUDGED_TRIGRAMS = 0.1, 40
+FLOOR_SHARE, FLOOR_GAP, JUDGED_TRIGRAMS = 0.6, 1.5, 40
 HASH_BITS = 17
 
 # Letters in lower case, every other ASCII character as a space; bytes of other scripts stay.
@@ -55,25 +57,51 @@ def trigrams(text: bytes) -> np.ndarray:
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    table: np.ndarray  # by trigram: its log probability in each language, and whether it is common in any
+    table: np.ndarray  # by trigram: its log probability in each language
+    floor: np.ndarray  # by language: the least mean log probability of a long text that may be in it
+    spread: np.ndarray  # by language: the standard deviation of a trigram's log probability
 
-    def score(self, text: bytes) -> tuple[np.ndarray, int, int]:
-        """The text's log likelihoods, its number of trigrams and of common ones."""
+    def score(self, text: bytes) -> tuple[np.ndarray, int]:
+        """The text's log likelihoods and its number of trigrams."""
         t = trigrams(text)
-        s = self.table.take(t, axis=0).sum(axis=0, dtype=np.float64)
-        return s[:-1], len(t), int(s[-1])
+        return self.table.take(t, axis=0).sum(axis=0, dtype=np.float64), len(t)
+
+    def plausible(self, s: np.ndarray, size: int) -> np.ndarray:
+        """By language, whether a text with these log likelihoods may be in it."""
+        return (size < JUDGED_TRIGRAMS) | (s >= self.floor * size - self.spread * size**0.5)
+
+
+def _counts(texts: list[bytes]) -> np.ndarray:
+    out = np.zeros(1 << HASH_BITS)
+    for text in texts:
+        out += np.bincount(trigrams(text), minlength=1 << HASH_BITS)
+    return out
+
+
+def _logs(counts: np.ndarray) -> np.ndarray:
+    return np.log((counts + 0.5) / (counts + 0.5).sum())
+
+
+def _floor(texts: list[bytes], halves: list[np.ndarray], logs: np.ndarray) -> tuple[float, float]:
+    """The floor and spread of a language from its sample; one without letters has no floor that a text could reach."""
+    if not (n := sum(halves).sum()):
+        return np.inf, 0.0
+    own, square = (sum((halves[i] * _logs(halves[1 - i]) ** e).sum() for i in (0, 1)) / n for e in (1, 2))
+    letters = np.frombuffer(b" ".join(b" ".join(t.translate(_LETTERS).split()) for t in texts), np.uint8)
+    noise = _counts([np.random.default_rng(0).permutation(letters).tobytes()])
+    return own - max(FLOOR_SHARE * (own - (noise * logs).sum() / noise.sum()), FLOOR_GAP), max(0.0, square - own**2) ** 0.5
 
 
 def fit(rows: list[tuple[str, bytes]]) -> Model:
     """A naive Bayes model of (language, text) rows."""
     kinds = sorted(k for k, n in Counter(k for k, _ in rows).items() if n >= MIN_LABELS)
-    counts = np.full((len(kinds), 1 << HASH_BITS), 0.5)
-    for k, text in rows:
-        if k in kinds:
-            counts[kinds.index(k)] += np.bincount(trigrams(text), minlength=1 << HASH_BITS)
-    share = counts / counts.sum(axis=1, keepdims=True)
-    common = (share > 1 / (1 << HASH_BITS)).any(axis=0)
-    return Model(tuple(kinds), np.vstack([np.log(share), common]).T.astype(np.float32).copy())
+    table, floor, spread = np.empty((1 << HASH_BITS, len(kinds)), np.float32), np.empty(len(kinds)), np.empty(len(kinds))
+    for i, k in enumerate(kinds):
+        texts = [t for x, t in rows if x == k]
+        halves = [_counts(texts[::2]), _counts(texts[1::2])]
+        table[:, i] = logs = _logs(sum(halves))
+        floor[i], spread[i] = _floor(texts, halves, logs)
+    return Model(tuple(kinds), table, floor, spread)
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
@@ -95,8 +123,8 @@ def _score(model: Model, strip: bool):
         for b in batches:
             evidence, own, found, plausible = [], [], [], []
             for text in pc.cast(b["text"], pa.binary()).to_pylist():
-                s, size, known = model.score(_MARKUP.sub(b" ", text) if strip else text)
-                plausible.append(size < JUDGED_TRIGRAMS or known >= MIN_KNOWN * size)
+                s, size = model.score(_MARKUP.sub(b" ", text) if strip else text)
+                plausible.append(model.plausible(s, size))
                 s = s * min(1.0, TEXT_WEIGHT / max(size, 1))
                 s -= s.max(initial=-np.inf) if n else 0.0
                 p = np.exp(s)
@@ -104,9 +132,9 @@ def _score(model: Model, strip: bool):
                 own.append(p / p.sum() if size else np.full(n, 1 / max(n, 1)))
                 found.append(size)
             offsets = pa.array(np.arange(b.num_rows + 1) * n, pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else np.empty(0), k)) for x, k in ((evidence, pa.float64()), (own, pa.float64()))]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else [], k)) for x, k in ((evidence, pa.float64()), (own, pa.float64()), (plausible, pa.bool_()))]
             rest = [c for c in b.schema.names if c != "text"]
-            yield pa.record_batch([*(b[c] for c in rest), *lists, pa.array(plausible, pa.bool_()), pa.array(found, pa.int64())], names=[*rest, "evidence", "own", "plausible", "n"])
+            yield pa.record_batch([*(b[c] for c in rest), *lists, pa.array(found, pa.int64())], names=[*rest, "evidence", "own", "plausible", "n"])
 
     return run
 
@@ -115,7 +143,7 @@ def scored(rows: DataFrame, model: Model, strip: bool = False) -> DataFrame:
     """Frames of (…, text, markup, host) with the text replaced by its scores."""
     small_batches(rows.sparkSession)
     rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    return rows.mapInArrow(_score(model, strip), f"{rest}, evidence array<double>, own array<double>, plausible boolean, n long")
+    return rows.mapInArrow(_score(model, strip), f"{rest}, evidence array<double>, own array<double>, plausible array<boolean>, n long")
 
 
 def fuse(rows: DataFrame, model: Model) -> DataFrame:
@@ -153,7 +181,7 @@ def fuse(rows: DataFrame, model: Model) -> DataFrame:
     joined = joined.withColumn("score", F.array(*(F.col("evidence")[k] + markup(k) + F.log(prior(k)) for k in ks)))
     joined = joined.withColumn("best", (F.array_position("score", F.array_max("score")) - 1).cast("int"))
     joined = joined.withColumn("probability", 1 / F.aggregate("score", F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max("score"))))
-    kept = letters & (F.col("probability") >= MIN_PROBABILITY) & F.col("plausible")
+    kept = letters & (F.col("probability") >= MIN_PROBABILITY) & F.get("plausible", F.col("best"))
     return joined.select(*rest, F.when(letters, F.get(F.array(*map(F.lit, langs)), F.col("best"))).alias("language"), "probability", kept.alias("kept"))
 
 

@@ -319,6 +319,18 @@ def test_languages_of_odd_rows(spark, odd, spoken):
     assert kept == {1: False, 2: True}
 
 
+def test_texts_in_no_language_of_the_model(spark, spoken):
+    """Latin letters alone make no language: foreign prose and random letters are rejected, held-out texts are kept."""
+    rows, df = spoken
+    rng = random.Random(11)
+    foreign = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto", "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler", "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza"]
+    foreign += [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(60)) for letters in ("abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(10)]
+    new = [(1000 + i, t, None, "mixed") for i, t in enumerate(foreign)] + [(2000 + i, sentence(rng, lang, 40), lang, "mixed") for i, lang in enumerate([*SAMPLES] * 10)]
+    model = language.train(df)
+    got = language.fuse(language.scored(language.of_documents(spark.createDataFrame(new, df.schema)), model), model).collect()
+    assert {r["doc_id"]: r["kept"] for r in got} == {i: i >= 2000 for i, *_ in new}
+
+
 def test_pages_and_unlabelled(spark, spoken, none):
     _, df = spoken
     rows = [(1, "https://User@www.Beispiel.de:8080/x?y", '<!DOCTYPE html><HTML class="a" lang="de-AT"><script>the and of</script><p>' + sentence(random.Random(2), "de", 30)), (2, None, None)]
