@@ -11,7 +11,7 @@ Only distinct fingerprints are joined (copies are members of theirs), and a dist
 partners below a node, so links never grow with the square of a group.
 
 Defined cases: a null or empty text has the fingerprint zero, linked like any other; null ids sort below all others;
-repeated rows come back as often as they went in; an empty table gives an empty result; other columns are not looked at.
+equal or null ids link nothing, so where components share their smallest id, its value doesn't tell them apart; repeated rows come back as often as they went in; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -158,16 +158,17 @@ def links(prints: DataFrame, limit: int = NODE_LIMIT, rows_per_task: int = 1_000
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, rid (the text's hash), print, component for every row."""
+    """id, rid (the text's hash), print, root (the component's smallest print), component (its smallest id) for every row."""
     small_batches(docs.sparkSession)
     text = text_or_empty(text_col)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("id"), F.xxhash64(text).alias("rid"), text.alias("text"))
     rows = durable(rows.mapInArrow(_fingerprints, "id long, rid long, print long"), "prints")
-    # A fingerprint's node is named by its smallest id, so that the smallest node reachable is the smallest id.
-    prints = durable(rows.groupBy("print").agg(F.min("id").alias("node")), "distinct-prints")
-    found = components(links(prints))
-    named = prints.join(found, "node", "left").select("print", F.coalesce("root", "node").alias("component"))
-    return rows.join(named, "print").select("id", "rid", "print", "component")
+    # A fingerprint is its own node, since ids may be null or repeat.
+    prints = durable(rows.groupBy("print").agg(F.min("id").alias("least")), "distinct-prints")
+    found = components(links(prints.select("print", F.col("print").alias("node"))))
+    rooted = durable(prints.join(found, prints["print"] == found["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root")), "roots")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("print", "root", "component")
+    return rows.join(named, "print").select("id", "rid", "print", "root", "component")
 
 
 def op9_simhash(docs: DataFrame) -> DataFrame:
@@ -179,8 +180,8 @@ def op9_simhash(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group (the one with the smallest id), with all its columns."""
-    first = classes(docs).filter("id = component").groupBy("component").agg(F.min(F.struct("rid")).alias("r"))
-    first = first.select(F.nullif("component", F.lit(_LOWEST)).alias("id"), F.col("r.rid").alias("rid"))
+    first = classes(docs).filter("id = component").groupBy("root").agg(F.min(F.struct("id", "rid")).alias("r"))
+    first = first.select(F.nullif("r.id", F.lit(_LOWEST)).alias("id"), F.col("r.rid").alias("rid"))
     own = fresh(docs, "own_rid")
     marked = docs.withColumn(own, F.xxhash64(text_or_empty("text")))
     same = marked["doc_id"].eqNullSafe(first["id"]) & (marked[own] == first["rid"])

@@ -204,6 +204,17 @@ def test_simhash_of_odd_rows(odd):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == sorted({r[0]["component_id"] or 0 for r in got.values()})
 
 
+def test_rows_that_share_an_id_are_not_linked(docs_of):
+    """Null and repeated ids over different texts: a component for each text, and one row of each is kept."""
+    texts = [prose(random.Random(i), 120) for i in range(5)]
+    rows = [(None, texts[0], "a"), (None, texts[1], "a"), (9, texts[1], "a"), (5, texts[2], "a"), (5, texts[3], "a"), (7, texts[3], "a"), (8, texts[4], "a")]
+    assert len(set(brute_components({i: brute_print(t) for i, t in enumerate(texts)}).values())) == 5
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in simhash.op9_simhash(docs_of(rows)).collect())
+    assert got == [(0, 0), (0, 0), (5, 5), (5, 5), (7, 5), (8, 8), (9, 0)]
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(docs_of(rows)).collect())
+    assert kept == sorted([(0, texts[0]), (0, texts[1]), (5, texts[2]), (5, texts[3]), (8, texts[4])])
+
+
 def test_components_of_a_long_path(spark):
     df = spark.range(1, 200).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v"))
     assert {r["root"] for r in components(df).collect()} == {0}
