@@ -6,8 +6,10 @@ rows, then suffix, domain and host, each level's counts adding to PULL rows' wor
 sums of the rows' own text posteriors, made by grouped aggregation over all rows; a row is left out of the
 counts it is judged by. A text counts as TEXT_WEIGHT trigrams at most, since its trigrams aren't independent.
 
-The trigram model is fitted on a bounded sample of labelled rows: TRAIN_ROWS rows in order of a hash of their id,
-TRAIN_CHARS characters of each. Scores, counts and decisions cover all rows and whole texts.
+The trigram model knows every language that MIN_LABELS rows or more of the whole table are labelled with. It is fitted on
+a bounded sample of each: TRAIN_ROWS rows in all, dealt out evenly (what a small language leaves goes to the others),
+LEAST_ROWS of a language if it has them, in order of a hash of id and text, equal rows once, TRAIN_CHARS characters of
+each. Scores, counts and decisions cover all rows and whole texts.
 
 A row is rejected if it has no letters, if no language reaches MIN_PROBABILITY, or if a text of JUDGED_TRIGRAMS or
 more lies below the floor of the language it would get, in its mean log probability by trigram: FLOOR_SHARE of the way
@@ -23,7 +25,6 @@ can be told, and every row comes back kept, with a null language; ids pass throu
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, durable, small_batches, text_or_empty
 
-TRAIN_ROWS, TRAIN_CHARS, MIN_LABELS = 4_000, 3_000, 5
+TRAIN_ROWS, LEAST_ROWS, TRAIN_CHARS, MIN_LABELS = 4_000, 100, 3_000, 5
 TEXT_WEIGHT, PULL, MIN_PROBABILITY = 200, 5.0, 0.5
 FLOOR_SHARE, FLOOR_GAP, JUDGED_TRIGRAMS = 0.6, 1.5, 40
 HASH_BITS = 17
@@ -94,7 +95,7 @@ def _floor(texts: list[bytes], halves: list[np.ndarray], logs: np.ndarray) -> tu
 
 def fit(rows: list[tuple[str, bytes]]) -> Model:
     """A naive Bayes model of (language, text) rows."""
-    kinds = sorted(k for k, n in Counter(k for k, _ in rows).items() if n >= MIN_LABELS)
+    kinds = sorted({k for k, _ in rows})
     table, floor, spread = np.empty((1 << HASH_BITS, len(kinds)), np.float32), np.empty(len(kinds)), np.empty(len(kinds))
     for i, k in enumerate(kinds):
         texts = [t for x, t in rows if x == k]
@@ -104,17 +105,35 @@ def fit(rows: list[tuple[str, bytes]]) -> Model:
     return Model(tuple(kinds), table, floor, spread)
 
 
+def shares(sizes: dict[str, int]) -> dict[str, int]:
+    """How many of each language's rows the sample takes: TRAIN_ROWS in all, the smallest languages dealt out first."""
+    out, left = {}, TRAIN_ROWS
+    for i, k in enumerate(sorted(sizes, key=sizes.get)):
+        out[k] = min(sizes[k], max(LEAST_ROWS, left // (len(sizes) - i)))
+        left -= out[k]
+    return out
+
+
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
-    """The model of a bounded sample of the labelled rows (see above).
+    """The model of a bounded sample of each language's rows (see above).
 
-    The sample is chosen by the hashes alone, so that no task sends more texts to the driver than the sample holds.
+    Rows are chosen by hashes under a bound for their language, with some to spare, so that no task sends many more
+    texts to the driver than the sample holds.
     """
-    some = labelled.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).withColumn("__o", F.xxhash64(id_col))
-    last = some.select("__o").orderBy("__o").limit(TRAIN_ROWS).agg(F.max("__o")).first()[0]
-    rows = some.filter(F.col("__o") <= F.lit(last)).select(
-        F.col(label_col).cast("string").alias("k"), F.substring(F.col(text_col).cast("string"), 1, TRAIN_CHARS).alias("t")
-    )
-    return fit([(r["k"], r["t"].encode()) for r in rows.limit(TRAIN_ROWS).collect()])
+    some = labelled.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
+    some = some.select(F.col(label_col).cast("string").alias("k"), F.col(text_col).cast("string").alias("t"), F.xxhash64(id_col, text_col).alias("o"))
+    counted = some.groupBy("k").agg(F.count("*").alias("n"), F.approx_count_distinct("o").alias("d")).filter(F.col("n") >= MIN_LABELS).collect()
+    sizes = {r["k"]: r["d"] for r in counted}
+    if not sizes:
+        return fit([])
+    take = shares(sizes)
+    bound = {k: (1 << 63) - 1 if sizes[k] <= 2 * n else int(1.5 * n / sizes[k] * (1 << 64)) - (1 << 63) for k, n in take.items()}
+    bounds = F.create_map(*(F.lit(x) for k, o in bound.items() for x in (k, o)))
+    near = some.filter(F.col("o") <= F.element_at(bounds, F.col("k"))).groupBy("k", "o").agg(F.min(F.substring("t", 1, TRAIN_CHARS)).alias("t"))
+    found: dict[str, list[tuple[int, str]]] = {}
+    for r in near.collect():
+        found.setdefault(r["k"], []).append((r["o"], r["t"]))
+    return fit([(k, t.encode()) for k, rows in sorted(found.items()) for _, t in sorted(rows)[: max(take[k], LEAST_ROWS)]])
 
 
 def _score(model: Model, strip: bool):

@@ -331,6 +331,19 @@ def test_texts_in_no_language_of_the_model(spark, spoken):
     assert {r["doc_id"]: r["kept"] for r in got} == {i: i >= 2000 for i, *_ in new}
 
 
+def test_rare_languages_are_known(spark):
+    """A language of 8 rows among 9,000 is in the model and named; one of 4 rows isn't; the sample stays bounded."""
+    rng = random.Random(12)
+    labels = ["en"] * 6000 + ["de"] * 3000 + ["fr"] * 8 + ["es"] * 4
+    schema = "doc_id long, text string, lang string, source string"
+    model = language.train(spark.createDataFrame([(i, sentence(rng, k, 40), k, "mixed") for i, k in enumerate(labels)], schema))
+    assert model.languages == ("de", "en", "fr")
+    new = spark.createDataFrame([(i, sentence(rng, "fr", 40), None, "mixed") for i in range(10)], schema)
+    got = language.fuse(language.scored(language.of_documents(new), model), model).collect()
+    assert all(r["language"] == "fr" and r["kept"] for r in got)
+    assert language.shares({"en": 10**9, "de": 10**6, "fr": 8}) == {"fr": 8, "de": 1996, "en": 1996}
+
+
 def test_pages_and_unlabelled(spark, spoken, none):
     _, df = spoken
     rows = [(1, "https://User@www.Beispiel.de:8080/x?y", '<!DOCTYPE html><HTML class="a" lang="de-AT"><script>the and of</script><p>' + sentence(random.Random(2), "de", 30)), (2, None, None)]
