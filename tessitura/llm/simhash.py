@@ -1,14 +1,16 @@
 """SimHash near-duplicates by a binary trie self-join.
 
-Fingerprints that differ in two bits at most agree in two of their four 16-bit blocks. For each of the six choices of
-two blocks, the fingerprint's bits are put in the order "those two blocks, then the rest": one binary trie for
-each order. A link shows in the trie whose upper 32 levels it passes without a difference, so the node at that depth
-is the unit of distribution. Below it node pairs are traversed together, each difference taken from the budget,
-and pruned when it is spent. A node with more than NODE_LIMIT fingerprints is first split 16 levels further down
-into all its node pairs within the budget; these hold 2 x 2**16 fingerprints at most, since fingerprints are distinct.
+All distinct fingerprints form one binary trie, joined with itself from the root down: a node pair (two nodes of one
+depth, or a node with itself) is followed into its child pairs, each pair of different bits is taken from the error
+budget of two bits, and a pair is pruned when the budget is exceeded or a side is empty. A subtree of a single
+fingerprint is a leaf; two leaves are compared in the bits left against the budget left.
 
-Only distinct fingerprints are joined (copies are members of theirs), and a distinct fingerprint has at most 528
-partners below a node, so links never grow with the square of a group.
+The upper levels are traversed by DataFrame operations: at a depth that gives about NODE_ROWS fingerprints a node, each
+fingerprint goes to the pairs that its node forms with the nodes whose prefix differs from its own in two bits at most.
+A pair of more than PAIR_ROWS rows, or of many more than the others, is followed STEP levels further down, again
+and again, which ends since fingerprints are distinct: at depth 48 a pair holds 2 x 2**16 at most. Each task then
+traverses whole node pairs, many at a time and level by level, and hands on their links as stars, so that links
+never grow with the square of a group.
 
 Defined cases: a null or empty text has the fingerprint zero, linked like any other; null ids sort below all others;
 equal or null ids link nothing, so where components share their smallest id, its value doesn't tell them apart; repeated rows come back as often as they went in; an empty table gives an empty result; other columns are not looked at.
@@ -16,6 +18,7 @@ equal or null ids link nothing, so where components share their smallest id, its
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -23,13 +26,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, fresh, parts, small_batches, text_or_empty
 from .components import components
 
-SHINGLE, SEED, BUDGET, NODE_LIMIT = 3, 42, 2, 20_000
+SHINGLE, SEED, BUDGET = 3, 42, 2
+NODE_ROWS, PAIR_ROWS, STEP, DEEPEST = 1 << 16, 1 << 18, 8, 48
+FRONTIER = 1 << 15  # node pairs that are followed at once
 _LOWEST = -(1 << 63)
 _BITS = np.left_shift(np.uint64(1), np.arange(63, -1, -1, dtype=np.uint64))
 
@@ -53,38 +58,58 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([b["id"], b["rid"], pa.array(prints, pa.int64())], names=["id", "rid", "print"])
 
 
-def trie_pairs(v: np.ndarray, side: np.ndarray | None, budget: int, bits: int = 32, leaf: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of sorted distinct numbers that differ in `budget` bits at most; across the sides if there are two."""
-    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    n = len(v)
-    if side is None:
-        stack = [(0, n, 0, n, bits - 1, budget)]
-    else:
-        stack = [(0, cut := int((side == 0).sum()), cut, n, bits - 1, budget)]
-    while stack:
-        a, b, c, d, bit, rest = stack.pop()
-        if a == b or c == d:
-            continue
-        if bit < 0 or max(b - a, d - c) <= leaf:
-            close = np.bitwise_count(v[a:b, None] ^ v[None, c:d]) <= budget
-            if a == c:
-                close = np.triu(close, 1)
-            i, j = np.nonzero(close)
-            left.append(i + a)
-            right.append(j + c)
-            continue
-        one = np.uint64(1 << bit)
-        m = a + int(np.searchsorted((v[a:b] & one) != 0, True))
-        if a == c:
-            stack += [(a, m, a, m, bit - 1, rest), (m, b, m, b, bit - 1, rest)]
-            if rest:
-                stack.append((a, m, m, b, bit - 1, rest - 1))
-        else:
-            k = c + int(np.searchsorted((v[c:d] & one) != 0, True))
-            stack += [(a, m, c, k, bit - 1, rest), (m, b, k, d, bit - 1, rest)]
-            if rest:
-                stack += [(a, m, k, d, bit - 1, rest - 1), (m, b, c, k, bit - 1, rest - 1)]
-    return np.concatenate(left), np.concatenate(right)
+class Trie:
+    """The trie below sorted runs of numbers; a node is a range of `values` whose members agree in all bits above."""
+
+    def __init__(self, values: np.ndarray):
+        self.values, self.followed = values, 0  # node pairs followed, leaf pairs included
+        self._ones: dict[int, np.ndarray] = {}
+
+    def ones(self, bit: int) -> np.ndarray:
+        """How many values before each index have this bit set."""
+        if bit not in self._ones:
+            out = np.zeros(len(self.values) + 1, np.int32)
+            np.cumsum((self.values >> np.uint64(bit)) & np.uint64(1), out=out[1:], dtype=np.int32)
+            self._ones[bit] = out
+        return self._ones[bit]
+
+    def links(self, pairs: np.ndarray, bit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Index pairs within the budget, from node pairs: rows (begin, end, begin, end, budget); `bit` is their next."""
+        stack = [(pairs, bit)]
+        while stack:
+            pairs, bit = stack.pop()
+            if pairs.shape[1] > FRONTIER:
+                stack += [(pairs[:, at : at + FRONTIER], bit) for at in range(0, pairs.shape[1], FRONTIER)]
+                continue
+            a, b, c, d, budget = pairs
+            self.followed += len(a)
+            leaves = (b - a == 1) & (d - c == 1)
+            if leaves.any():
+                i, j = a[leaves], c[leaves]
+                left = np.uint64((1 << (bit + 1)) - 1)
+                near = np.bitwise_count((self.values[i] ^ self.values[j]) & left) <= budget[leaves]
+                yield i[near], j[near]
+                pairs = pairs[:, ~leaves]
+                a, b, c, d, budget = pairs
+            if not len(a):
+                continue
+            ones = self.ones(bit)
+            m, k = b - (ones[b] - ones[a]), d - (ones[d] - ones[c])  # where the ones begin
+            spend, cross = budget > 0, a != c
+            both = spend & cross
+            children = np.concatenate(
+                [
+                    np.stack([a, m, c, k, budget]),
+                    np.stack([m, b, k, d, budget]),
+                    np.stack([a, m, k, d, budget - 1])[:, spend],
+                    np.stack([m, b, c, k, budget - 1])[:, both],
+                ],
+                axis=1,
+            )
+            a, b, c, d, _ = children
+            alive = (a < b) & (c < d) & ((a != c) | (b - a > 1))
+            if alive.any():
+                stack.append((children[:, alive], bit - 1))
 
 
 def _forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
@@ -99,62 +124,123 @@ def _forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
             return at
 
 
+def stars(found: Iterator[tuple[np.ndarray, np.ndarray]], n: int, limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """The links among n indices as one star for each component; never more than about `limit` links are held."""
+    left, right, held = [], [], 0
+
+    def shrink() -> None:
+        root = _forest(np.concatenate(left), np.concatenate(right), n)
+        moved = np.flatnonzero(root != np.arange(n))
+        left[:], right[:] = [moved], [root[moved]]
+
+    for i, j in found:
+        left.append(i)
+        right.append(j)
+        if (held := held + len(i)) > limit:
+            shrink()
+            held = 0
+    if left:
+        shrink()
+    return (left[0], right[0]) if left else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+_PAIR = ("depth", "mask", "low", "print")
+
+
+def joined(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """The links (u, v) of whole node pairs, rows sorted by _PAIR, and how many node pairs were followed."""
+    n = len(rows["print"])
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64), 0
+    # With the sign bit turned, the order of signed numbers is that of unsigned ones; distances stay.
+    values = rows["print"].astype(np.uint64) ^ np.uint64(1 << 63)
+    new = np.ones(n, bool)
+    new[1:] = np.logical_or.reduce([rows[c][1:] != rows[c][:-1] for c in _PAIR[:3]])
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], n)
+    depth, mask = rows["depth"][begin], rows["mask"][begin]
+    lower = (values >> (np.uint64(64) - rows["depth"].astype(np.uint64))).astype(np.int64) == rows["low"]
+    cut = begin + np.add.reduceat(lower.astype(np.int64), begin)
+    own = mask == 0
+    pairs = np.stack([begin, np.where(own, end, cut), np.where(own, begin, cut), end, BUDGET - np.bitwise_count(mask.astype(np.uint64)).astype(np.int64)]).astype(np.int32)
+    a, b, c, d, _ = pairs
+    alive = (a < b) & (c < d) & ((a != c) | (b - a > 1))
+    trie = Trie(values)
+
+    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in np.unique(depth[alive]).tolist():
+            yield from trie.links(pairs[:, alive & (depth == at)], 63 - at)
+
+    u, v = stars(found(), n)
+    return rows["print"][u], rows["print"][v], trie.followed
+
+
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (place, mask, low): the links of each node pair, as stars."""
-    names = ("place", "mask", "low", "rest", "node")
-    held = {c: np.empty(0, np.int64) for c in names}
+    """Over rows sorted by _PAIR: the links of the node pairs, a pair at least and about NODE_ROWS rows at a time."""
+    held: list[dict[str, np.ndarray]] = []
 
     def run(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-        us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        if len(rows["place"]):
-            new = np.flatnonzero((np.diff(rows["place"]) != 0) | (np.diff(rows["mask"]) != 0) | (np.diff(rows["low"]) != 0)) + 1
-            for a, b in zip([0, *new], [*new, len(rows["place"])]):
-                if b - a < 2:
-                    continue
-                rest, mask = rows["rest"][a:b].astype(np.uint64), int(rows["mask"][a])
-                side = (rest >> np.uint64(16)).astype(np.int64) != rows["low"][a:b] if mask else None
-                order = np.lexsort((rest, side)) if mask else np.argsort(rest)
-                low = rest[order] & np.uint64(0xFFFF) if mask else rest[order]
-                i, j = trie_pairs(low, side[order] if mask else None, BUDGET - mask.bit_count(), 16 if mask else 32)
-                if len(i):
-                    node = rows["node"][a:b][order]
-                    root = _forest(i, j, b - a)
-                    moved = np.flatnonzero(root != np.arange(b - a))
-                    us.append(node[moved])
-                    vs.append(node[root[moved]])
-        return pa.record_batch([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+        u, v, _ = joined(rows)
+        return pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
 
     for b in batches:
-        rows = {c: np.concatenate([held[c], b[c].to_numpy(zero_copy_only=False)]) for c in names}
-        if not len(rows["place"]):
+        if not b.num_rows:
             continue
-        last = len(rows["place"]) - 1
-        same = (rows["place"] == rows["place"][last]) & (rows["mask"] == rows["mask"][last]) & (rows["low"] == rows["low"][last])
-        cut = int(np.argmax(same))  # rows are sorted, so the open run is the tail
-        held = {c: x[cut:] for c, x in rows.items()}
-        yield run({c: x[:cut] for c, x in rows.items()})
-    yield run(held)
-
-
-def links(prints: DataFrame, limit: int = NODE_LIMIT, rows_per_task: int = 1_000_000) -> DataFrame:
-    """From distinct (print, node): edges (u, v) between nodes that connect all within the budget."""
-    block = [F.shiftrightunsigned("print", 48 - 16 * i).bitwiseAND(0xFFFF) for i in range(4)]
-    orders = [(i, j, *(k for k in range(4) if k not in (i, j))) for i, j in combinations(range(4), 2)]
-    place = lambda t, i, j: F.lit(t << 32).bitwiseOR(F.shiftleft(block[i], 16)).bitwiseOR(block[j])
-    rest = lambda k, m: F.shiftleft(block[k], 16).bitwiseOR(block[m])
-    tries = F.array(*(F.struct(place(t, i, j).alias("place"), rest(k, m).alias("rest")) for t, (i, j, k, m) in enumerate(orders)))
-    rows = durable(prints.select("node", F.explode(tries).alias("x")).select("node", "x.place", "x.rest"), "trie-rows")
-    counted = rows.groupBy("place").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = rows.join(counted, "place")
-    masks = [0, *(1 << i for i in range(16)), *((1 << i) | (1 << j) for i, j in combinations(range(16), 2))]
-    upper = F.shiftright("rest", 16)
-    whole = rows.filter(F.col("n") <= limit).select("place", F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("low"), "rest", "node")
-    split = rows.filter(F.col("n") > limit).withColumn("mask", F.explode(F.array(*(F.lit(m).cast("long") for m in masks))))
-    split = split.select("place", "mask", F.least(upper, upper.bitwiseXOR(F.col("mask"))).alias("low"), "rest", "node")
-    keys = ["place", "mask", "low"]
-    n = parts(prints.count() * len(orders), rows_per_task)
-    spread = whole.unionByName(split).repartition(max(n, rows.sparkSession.sparkContext.defaultParallelism), *keys)
-    return spread.sortWithinPartitions(*keys).mapInArrow(_join, "u long, v long")
+        held.append({c: b[c].to_numpy(zero_copy_only=False) for c in _PAIR})
+        if sum(len(x["print"]) for x in held) >= NODE_ROWS:
+            rows = {c: np.concatenate([x[c] for x in held]) for c in _PAIR}
+            same = np.logical_and.reduce([rows[c] == rows[c][-1] for c in _PAIR[:3]])
+            cut = int(np.argmax(same))  # rows are sorted, so the open pair is the tail
+            held = [{c: x[cut:] for c, x in rows.items()}]
+            if cut:
+                yield run({c: x[:cut] for c, x in rows.items()})
+    if held:
+        yield run({c: np.concatenate([x[c] for x in held]) for c in _PAIR})
+
+
+def masks(bits: int, budget: int = BUDGET) -> list[int]:
+    """The numbers of so many bits with `budget` bits set at most."""
+    return [sum(1 << i for i in chosen) for k in range(budget + 1) for chosen in combinations(range(bits), k)]
+
+
+def _prefix(depth: int) -> Column:
+    return F.shiftrightunsigned(F.col("print").bitwiseXOR(F.lit(_LOWEST)), 64 - depth)
+
+
+def _pairs(prints: DataFrame, depth: int, bits: int) -> DataFrame:
+    """Each print of each node pair (their bits above the last `bits` differ in `mask`) in the child pairs `bits` further down, which are at `depth`."""
+    further = F.explode(F.array(*(F.lit(m).cast("long") for m in masks(bits))))
+    out = prints.withColumn("further", further).withColumn("mask", F.shiftleft("mask", bits).bitwiseOR(F.col("further"))).filter(F.bit_count("mask") <= BUDGET)
+    prefix = _prefix(depth)
+    return out.select(F.lit(depth).alias("depth"), "mask", F.least(prefix, prefix.bitwiseXOR(F.col("mask"))).alias("low"), "print")
+
+
+def links(prints: DataFrame, node_rows: int = NODE_ROWS, pair_rows: int = PAIR_ROWS, rows_per_task: int = 1_000_000) -> DataFrame:
+    """From distinct prints: edges (u, v) between prints that connect all within the budget."""
+    tasks, n = prints.sparkSession.sparkContext.defaultParallelism, prints.count()
+    depth = max(1, (max(parts(n, node_rows), 2 * tasks) - 1).bit_length())
+    level = _pairs(prints.select("print", F.lit(0).cast("long").alias("mask")), depth, depth)
+    # Four times an even share, but not so few that more levels cost more than they spare.
+    even, keys, done = max(4 * parts(2 * n, 1 << depth), min(pair_rows, 2048)), ["mask", "low"], []
+    spread = max(parts(n * len(masks(depth)), rows_per_task), tasks)
+    while True:
+        lower = F.count_if(_prefix(depth) == F.col("low"))
+        sizes = level.groupBy(*keys).agg(F.count("*").alias("n"), lower.alias("a"))
+        sizes = sizes.filter(F.when(F.col("mask") == 0, F.col("n") > 1).otherwise((F.col("a") > 0) & (F.col("a") < F.col("n"))))
+        if done:  # below hot nodes most pairs have an empty side
+            sizes = durable(sizes, "pair-sizes")
+            level = level.join(sizes.select(*keys), keys, "left_semi")
+        hot = durable(sizes.filter(F.col("n") > min(pair_rows, even)).select(*keys), "hot-pairs")
+        if depth >= DEEPEST or hot.isEmpty():
+            done.append(level)
+            break
+        done.append(level.join(hot, keys, "left_anti"))
+        bits = min(STEP, DEEPEST - depth)
+        depth += bits
+        # The child's mask keeps the differences spent above, of which only their number counts.
+        level = durable(_pairs(level.join(hot, keys, "left_semi").select("print", "mask"), depth, bits), "deeper-pairs")
+    every = functools.reduce(DataFrame.unionByName, done)
+    return every.repartition(spread, "depth", *keys).sortWithinPartitions(*_PAIR).mapInArrow(_join, "u long, v long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,7 +251,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = durable(rows.mapInArrow(_fingerprints, "id long, rid long, print long"), "prints")
     # A fingerprint is its own node, since ids may be null or repeat.
     prints = durable(rows.groupBy("print").agg(F.min("id").alias("least")), "distinct-prints")
-    found = components(links(prints.select("print", F.col("print").alias("node"))))
+    found = components(links(prints.select("print")))
     rooted = durable(prints.join(found, prints["print"] == found["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root")), "roots")
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("print", "root", "component")
     return rows.join(named, "print").select("id", "rid", "print", "root", "component")

@@ -170,27 +170,51 @@ def test_simhash(docs_of):
     assert {i: r["component_id"] for i, r in got.items()} == brute_components(prints)
 
 
-@pytest.mark.parametrize("limit", [20_000, 3])
-def test_links_of_dense_prints(spark, limit):
-    """Many prints around a few centres; a node limit of 3 sends them through the split nodes."""
+def signed(p):
+    return p - (1 << 64) if p >> 63 else p
+
+
+@pytest.mark.parametrize("node_rows,pair_rows", [(1 << 16, 1 << 18), (20, 3)])
+def test_links_of_dense_prints(spark, node_rows, pair_rows):
+    """Many prints around a few centres; the second limits send their node pairs many levels further down."""
     rng = random.Random(4)
     prints = set()
     for _ in range(3):
         centre = rng.getrandbits(64)
         prints |= {centre ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(60)} | {centre ^ rng.getrandbits(12) for _ in range(40)}
-    ids = dict(enumerate(sorted(prints)))
-    signed = lambda p: p - (1 << 64) if p >> 63 else p
-    df = spark.createDataFrame([(signed(p), i) for i, p in ids.items()], "print long, node long")
-    root = {r["node"]: r["root"] for r in components(simhash.links(df, limit=limit, rows_per_task=500)).collect()}
-    assert {i: root.get(i, i) for i in ids} == brute_components(ids)
+    df = spark.createDataFrame([(signed(p),) for p in prints], "print long")
+    root = {r["node"]: r["root"] for r in components(simhash.links(df, node_rows, pair_rows, rows_per_task=500)).collect()}
+    got = {p: root.get(signed(p), signed(p)) for p in prints}
+    want = brute_components({p: p for p in prints})
+    assert len({(got[p], want[p]) for p in prints}) == len(set(want.values())) == len(set(got.values()))
 
 
 def test_trie_pairs():
     rng = np.random.default_rng(5)
     v = np.unique(rng.integers(0, 1 << 12, 900)).astype(np.uint64)
-    i, j = simhash.trie_pairs(v, None, 2, 12, leaf=8)
+    trie = simhash.Trie(v)
+    found = [(a, b) for i, j in trie.links(np.array([[0], [len(v)], [0], [len(v)], [2]], np.int32), 11) for a, b in zip(i.tolist(), j.tolist())]
     want = {(a, b) for a in range(len(v)) for b in range(a + 1, len(v)) if int(v[a] ^ v[b]).bit_count() <= 2}
-    assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want)
+    assert set(found) == want and len(found) == len(want)
+
+
+def test_links_come_from_followed_node_pairs(spark):
+    """A task gets whole node pairs and follows many more below them; pruning keeps these far from all pairs. A tenth of the prints have near ones planted."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    prints = {brute_print(r["text"] or "") for r in docs.select("text").collect()}
+    rng = random.Random(6)
+    prints |= {p ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for p in sorted(prints)[::10]}
+    prints = sorted(map(signed, prints))
+    n = len(prints)
+    rows = [(4, m, min(x, x ^ m), p) for p in prints for x in [(p + (1 << 63)) >> 60] for m in simhash.masks(4)]
+    rows = dict(zip(("depth", "mask", "low", "print"), np.array(sorted(rows), np.int64).T))
+    u, v, followed = simhash.joined(rows)
+    pairs = len(set(zip(rows["mask"].tolist(), rows["low"].tolist())))
+    assert len(u) and 10 * pairs < followed < n * (n - 1) / 2
+    root = {r["node"]: r["root"] for r in components(simhash.links(spark.createDataFrame([(p,) for p in prints], "print long"))).collect()}
+    want = brute_components({p & ((1 << 64) - 1): p & ((1 << 64) - 1) for p in prints})
+    got = {p & ((1 << 64) - 1): root.get(p, p) for p in prints}
+    assert len({(got[p], want[p]) for p in want}) == len(set(want.values())) == len(set(got.values()))
 
 
 def test_simhash_of_odd_rows(odd):
