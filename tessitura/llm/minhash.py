@@ -7,12 +7,14 @@ alone, so two texts that borrow do so alike. Of each bin the low 8 bits are stor
 different hashes share their low bits once in 256, which the likeness is corrected for.
 
 The document after each one comes from a rank over ids: (id, text hash) pairs are range-partitioned, each partition
-finds its successors, and one row for each partition closes the gaps. Only the part of the next text that replaces
+finds its successors, and one row for each partition closes the gaps. Texts are exchanged once, in partitions of
+TASK_BYTES, since fingerprinting costs more than its bytes suggest; only the part of the next text that replaces
 something is moved to the document it goes to.
 
 Defined cases: a null or empty text has no shingles and an empty fingerprint, with likeness 1 to another such and 0 to
 any other; fewer than five words are one shingle; null ids come first and stay null; rows that repeat both id and
-text are one document and come back once; an empty table gives an empty result; other columns are not looked at.
+text have one place in the order and one fingerprint, and all of them come back; an empty table gives an empty
+result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, SPACES, durable, parts, text_or_empty
 
 WIDTH, BINS, LANE, PROBES = 5, 256, 8, 12
+TASK_BYTES, REPEATS = 8 << 20, 1000
 _LOWEST = -(1 << 63)
 
 
@@ -102,42 +105,55 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_task: int = 1_000_000) -> DataFrame:
-    """id, rid (text hash), n, next_id, next_rid, last_n (length of the document before) for every distinct (id, text)."""
+    """id, rid (text hash), n, bytes, copies, next_id, next_rid for every distinct (id, text)."""
     text = text_or_empty(text_col)
-    rows = durable(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("id"), F.xxhash64(text).alias("rid"), F.char_length(text).cast("long").alias("n")).distinct(), "ids")
+    keyed = docs.select(_id(id_col), F.xxhash64(text).alias("rid"), F.char_length(text).cast("long").alias("n"), F.octet_length(text).cast("long").alias("bytes"))
+    rows = durable(keyed.groupBy("id", "rid", "n", "bytes").agg(F.count("*").alias("copies")), "ids")
     ranged = rows.repartitionByRange(parts(rows.count(), rows_per_task), "id", "rid").withColumn("part", F.spark_partition_id())
     ranged = durable(ranged, "ranges")  # from here on a row's part is a stored value
-    ends = ranged.groupBy("part").agg(F.min(F.struct("id", "rid")).alias("first"), F.max(F.struct("id", "rid", "n")).alias("last"))
-    # One row for each partition: the first after its end, the last before its start, and round the whole table.
+    firsts = ranged.groupBy("part").agg(F.min(F.struct("id", "rid")).alias("first"))
+    # One row for each partition: the first after its end, and round the whole table.
     whole = Window.orderBy("part")
     every = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = ends.select(
-        "part",
-        F.coalesce(F.lead("first").over(whole), F.first("first").over(every)).alias("after"),
-        F.coalesce(F.lag("last").over(whole), F.last("last").over(every)).alias("before"),
-    )
+    ends = firsts.select("part", F.coalesce(F.lead("first").over(whole), F.first("first").over(every)).alias("after"))
     inside = Window.partitionBy("part").orderBy("id", "rid")
-    out = ranged.withColumn("follows", F.lead(F.struct("id", "rid")).over(inside)).withColumn("last_n", F.lag("n").over(inside))
-    out = out.join(F.broadcast(ends), "part").withColumn("follows", F.coalesce("follows", "after"))
-    return out.select("id", "rid", "n", F.col("follows.id").alias("next_id"), F.col("follows.rid").alias("next_rid"), F.coalesce("last_n", F.col("before.n")).alias("last_n"))
+    out = ranged.withColumn("follows", F.lead(F.struct("id", "rid")).over(inside)).join(ends, "part").withColumn("follows", F.coalesce("follows", "after"))
+    return out.select("id", "rid", "n", "bytes", "copies", F.col("follows.id").alias("next_id"), F.col("follows.rid").alias("next_rid"))
+
+
+def _id(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("long"), F.lit(_LOWEST)).alias("id")
 
 
-def edited_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n, edited (text), print, edited_print, next_print for every distinct (id, text)."""
+def edited_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", task_bytes: int = TASK_BYTES) -> DataFrame:
+    """id, n, edited_sha256, print, edited_print, next_print for every row."""
     order = durable(neighbours(docs, id_col, text_col), "order")
+    held = order.agg(F.sum("bytes").alias("bytes"), F.max("copies").alias("copies")).first()
+    tasks = max(parts(held["bytes"], task_bytes), 2 * docs.sparkSession.sparkContext.defaultParallelism)
     text = text_or_empty(text_col)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("id"), F.xxhash64(text).alias("rid"), text.alias("text"))
-    if docs.select(F.count("*")).first()[0] != order.count():
+    texts = docs.select(_id(id_col), F.xxhash64(text).alias("rid"), text.alias("text"))
+    if (held["copies"] or 0) > 1:
         texts = texts.dropDuplicates(["id", "rid"])
+    texts = texts.repartition(tasks, "id", "rid")
     back = order.select(F.col("id").alias("to_id"), F.col("rid").alias("to_rid"), F.col("next_id").alias("id"), F.col("next_rid").alias("rid"), F.floor(F.col("n") / 4).alias("take"))
     heads = texts.join(back, ["id", "rid"]).select(F.col("to_id").alias("id"), F.col("to_rid").alias("rid"), F.expr("substring(text, 1, int(take))").alias("head"))
     both = texts.join(heads, ["id", "rid"]).join(order, ["id", "rid"])
     edited = F.expr("concat(substring(text, 1, int(n - floor(n / 4))), head)")
-    made = both.select("id", "rid", "n", "next_id", "next_rid", "text", edited.alias("edited"))
-    made = made.select("id", "rid", "n", "next_id", "next_rid", packed(F.col("text")).alias("print"), F.sha2("edited", 256).alias("edited_sha256"), packed(F.col("edited")).alias("edited_print"))
+    made = both.select("id", "rid", "n", "copies", "next_id", "next_rid", "text", edited.alias("edited"))
+    made = made.select("id", "rid", "n", "copies", "next_id", "next_rid", packed(F.col("text")).alias("print"), F.sha2("edited", 256).alias("edited_sha256"), packed(F.col("edited")).alias("edited_print"))
     made = durable(made, "prints")
     after = made.select(F.col("id").alias("next_id"), F.col("rid").alias("next_rid"), F.col("print").alias("next_print"))
-    return made.join(after, ["next_id", "next_rid"])
+    out = made.join(after, ["next_id", "next_rid"])
+    if (held["copies"] or 0) <= 1:
+        return out.drop("copies")
+    few = out.filter(F.col("copies") <= REPEATS).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    if held["copies"] <= REPEATS:
+        return few.drop("copies", "copy")
+    # A row that repeats very often is multiplied in two steps, so that no task makes all of its copies.
+    pieces = out.filter(F.col("copies") > REPEATS).withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / REPEATS))))
+    size = F.least(F.lit(REPEATS), F.col("copies") - F.col("piece") * REPEATS)
+    many = pieces.repartition("id", "rid", "piece").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), size))).drop("piece")
+    return few.unionByName(many).drop("copies", "copy")
 
 
 def op7_minhash(docs: DataFrame) -> DataFrame:

@@ -243,13 +243,46 @@ def test_fingerprints(docs_of):
 
 
 def test_fingerprints_of_odd_rows(odd):
-    got = {r["doc_id"]: r for r in minhash.op7_minhash(odd[0]).collect()}
-    assert len(got) == 11 and got[3]["near_next"] == 1.0 and got[3]["fingerprint"] == got[5]["fingerprint"] == ""
+    rows = minhash.op7_minhash(odd[0]).collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert sorted(r["doc_id"] or 0 for r in rows) == sorted(i or 0 for i, _, _ in odd[1]) and got[3]["near_next"] == 1.0 and got[3]["fingerprint"] == got[5]["fingerprint"] == ""
     # the one without an id comes first and follows the last
     assert got[10]["edited_sha256"] == sha("HERE IT IS, QUITE" [: 22 - 5] + "same text"[:5])
     assert got[1]["near_next"] == 1.0
 
 
+def test_repeated_rows_come_back(docs_of, monkeypatch):
+    monkeypatch.setattr(minhash, "REPEATS", 7)
+    rows = [(None, "the same text without any id", "s")] * 40 + [(1, "another text that stands alone here", "s")] + [(2, "twice", "s")] * 2
+    got = minhash.op7_minhash(docs_of(rows)).collect()
+    assert collections.Counter(r["doc_id"] for r in got) == {None: 40, 1: 1, 2: 2} and len(set(got)) == 3
+
+
+def plain_print(text):
+    """One-permutation MinHash by loops, over hashes that Spark gives for the shingles."""
+    bins = {}
+    for h in text:
+        bins[(h >> 56) + 128] = min(h, bins.get((h >> 56) + 128, h))
+    return bins
+
+
+def test_prints_equal_plain_one_permutation_minhash(spark):
+    """Filled bins hold the least hash's low bits; empty ones borrow from the first filled bin in their own order."""
+    rng = random.Random(9)
+    df = spark.createDataFrame([(prose(rng, n),) for n in (1, 4, 5, 6, 30, 300, 2000)], "t string")
+    order = {tuple(r[:2]): r["h"] for r in spark.range(256).select(F.col("id").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(minhash.PROBES - 1))).alias("t")).withColumn("h", F.xxhash64("i", "t")).collect()}
+    for r in df.select("t", minhash.shingle_hashes(F.col("t")).alias("h"), minhash.packed(F.col("t")).alias("p")).collect():
+        words = r["t"].split()
+        assert len(r["h"]) == max(1, len(words) - 4) and len(set(r["h"])) == len({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+        bins = plain_print(r["h"])
+        lanes = [x >> s & 255 for x in r["p"] for s in range(56, -8, -8)]
+        assert len(lanes) == 256
+        for i, lane in enumerate(lanes):
+            at = [i, *(order[i, t] & 255 for t in range(minhash.PROBES))]
+            first = next((b for b in at if b in bins), None)
+            assert lane == bins[first] & 255 if first is not None else lane in {h & 255 for h in bins.values()}
+
+
 def test_one_document(docs_of):
     (r,) = minhash.op7_minhash(docs_of([(5, "abcdefgh", "s")])).collect()
     assert r["edited_sha256"] == sha("abcdefab") and r["near_next"] == 1.0
