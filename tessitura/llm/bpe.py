@@ -2,32 +2,39 @@
 
 A rolling hash over 32 bytes cuts each text where its content says so: before a space where the hash's upper SOFT
 bits are zero, or between any two characters where the upper HARD are. Equal passages of different documents thus fall
-into equal chunks, and a chunk met before isn't encoded again; inside a new chunk, the words that white space
-separates are chunks of a second level, reused alike. Joins at white space are exact by the tokenizer's own rules:
-it separates words, and no normal form joins a character with it. At any other join the text between the
-nearest spaces on both sides is encoded anew and put in place of what the chunks gave for it; if a chunk's own ids
-don't end (or begin) with the ids of that fragment, the seam moves one word further until they agree exactly.
-
-Chunks are kept with their ids and their decoded text, in two generations of bounded size, for each Python
-worker: to exchange them between tasks would move the whole corpus once more.
-
-Defined cases: a null text counts as empty and has no tokens; ids, nulls and repeated rows pass through; an empty
-table gives an empty result; other columns are not looked at.
+into equal chunks. A chunk is encoded once, wherever it stands: documents are dealt to groups of about GROUP_BYTES;
+each group tells the digests of its chunks, those of several groups are encoded by the first group alone, and their ids
+are sent to the others; within a group each chunk is encoded once in any case. What travels are digests of all chunks
+and ids of the shared ones, once for each group that holds them, however many of its documents do; the texts
+are exchanged once and read three times.
+
+Then chunks are joined. Joins at white space are exact by the tokenizer's own rules: it separates words, and no normal
+form joins a character with it. At any other join the text between the nearest spaces on both sides is encoded anew
+and put in place of what the chunks gave for it; if a chunk's own ids don't end (or begin) with the ids of that
+fragment, the seam moves one word further until they agree exactly.
+
+Defined cases: a null text counts as empty and has no tokens; ids, nulls and repeated rows pass through (rows without an
+id are dealt to groups by their place in the input); an empty table gives an empty result; other columns are not
+looked at.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import small_batches, text_or_empty
+from .common import parts, small_batches, text_or_empty
 
-SOFT, HARD, CHUNK_BYTES, WORD_BYTES = 5, 17, 12 << 20, 120 << 20
+SOFT, HARD, GROUP_BYTES, DIGESTS_PER_TASK = 5, 13, 8 << 20, 1_000_000
+_IDS = "a long, b long, ids binary"
 
 
 def default_tokenizer() -> str:
@@ -61,152 +68,84 @@ def cuts(data: bytes, soft: int = SOFT, hard: int = HARD) -> tuple[np.ndarray, n
     return at + 1, raw[at + 1] == 0x20
 
 
-class Reused:
-    """Ids (as bytes) and decoded text of chunks, in two generations: when the younger is full, the older is forgotten."""
-
-    def __init__(self, limit: int):
-        self.young: dict[bytes, tuple[bytes, str]] = {}
-        self.old: dict[bytes, tuple[bytes, str]] = {}
-        self.held, self.limit = 0, limit
-
-    def again(self, chunks: Iterable[bytes]) -> tuple[dict[bytes, tuple[bytes, str]], list[bytes]]:
-        """What is known of these chunks, and the others."""
-        known, new = {}, []
-        young, old = self.young, self.old
-        back = {}
-        for c in chunks:
-            if (found := young.get(c)) is not None:
-                known[c] = found
-            elif (found := old.get(c)) is not None:
-                known[c] = back[c] = found
-            else:
-                new.append(c)
-        self.put(back)
-        return known, new
-
-    def put(self, made: dict[bytes, tuple[bytes, str]]) -> None:
-        self.young.update(made)
-        self.held += 330 * len(made) + 4 * sum(map(len, made))  # about what key, ids and text take
-        if self.held > self.limit:
-            self.old, self.young, self.held = self.young, {}, 0
+def split(data: bytes, soft: int = SOFT, hard: int = HARD) -> tuple[list[bytes], np.ndarray]:
+    """The chunks of a text, and for each but the first whether it begins at a space."""
+    at, at_space = cuts(data, soft, hard)
+    ends = [0, *at.tolist(), len(data)]
+    return [data[a:b] for a, b in zip(ends, ends[1:])], at_space
+
+
+digest = xxhash.xxh3_128_digest
 
 
 class Codec:
-    """Encodes and decodes texts by chunks. One for each Python worker and tokenizer file."""
+    """Encodes and decodes texts by chunks."""
 
-    def __init__(self, path: str, chunk_bytes: int = CHUNK_BYTES, word_bytes: int = WORD_BYTES, soft: int = SOFT, hard: int = HARD):
+    def __init__(self, path: str, soft: int = SOFT, hard: int = HARD):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        # Without a decoder, decoding joins the tokens by spaces, so decoded chunks can be joined alike.
+        # Without a decoder, decoding joins the tokens by spaces.
         self.joins = self.tokenizer.decoder is None
-        self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())] if self.joins else []
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.tokenizer.get_vocab_size())]) if suffix else None
-        self.mark = "\uf8ff".encode()
-        self.between, self.mark_ids = b" " + self.mark + b" ", self.plain(self.mark.decode())
-        self.chunks, self.words, self.soft, self.hard = Reused(chunk_bytes), Reused(word_bytes), soft, hard
-        self.encoded = self.asked = 0  # bytes
-
-    def plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
-
-    def _made(self, words: list[bytes]) -> dict[bytes, tuple[bytes, str]]:
-        """The ids (as bytes) and decoded text of words not met before, encoded together.
-
-        Words of ASCII letters alone are one unit of the vocabulary each, so where units have an end of their own, the
-        ids tell them apart. Between others stands a mark that none of them holds; white space around it keeps it a
-        word. Words that do hold it are encoded alone, as are all where the counts don't agree.
-        """
-        simple = [w for w in words if self.ends is not None and w.isalpha()]
-        others = [w for w in words if self.ends is None or not w.isalpha()]
-        out: dict[bytes, tuple[bytes, str]] = {}
-        alone = [w for w in others if self.mark in w]
-        marked = [w for w in others if self.mark not in w]
-        k = len(self.mark_ids)
-        for at in range(0, max(len(simple), len(marked)), 4096):
-            some = simple[at : at + 4096]
-            if some:
-                ids = self.plain(b" ".join(some).decode())
-                alone += self._split(out, some, ids, (np.flatnonzero(self.ends[ids]) + 1).tolist(), 0)
-            some = marked[at : at + 4096]
-            if some:
-                ids = self.plain(self.between.join(some).decode())
-                hits = np.logical_and.reduce([ids[i : len(ids) - k + 1 + i] == m for i, m in enumerate(self.mark_ids)]) if len(ids) >= k else np.empty(0, bool)
-                alone += self._split(out, some, ids, [*np.flatnonzero(hits).tolist(), len(ids)], k)
-        for w in alone:
-            x = self.plain(w.decode())
-            out[w] = x.tobytes(), " ".join(self._tokens(x))
-        self.words.put(out)
-        self.encoded += sum(map(len, words))
-        return out
-
-    def _split(self, out: dict, words: list[bytes], ids: np.ndarray, ends: list[int], gap: int) -> list[bytes]:
-        """Gives each word its ids; returns the words for which that can't be done."""
-        if len(ends) != len(words) or ends[-1] != len(ids):
-            return words
-        raw, said, begin = ids.tobytes(), self._tokens(ids), 0
-        for w, end in zip(words, ends):
-            out[w] = raw[4 * begin : 4 * end], " ".join(said[begin:end])
-            begin = end + gap
-        return []
-
-    def _tokens(self, ids: np.ndarray) -> list[str]:
-        return [self.tokens[i] for i in ids.tolist()] if self.joins else []
-
-    def transcode(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
-        """The ids of texts, and what these decode to."""
-        pieces = []
+        size = self.tokenizer.get_vocab_size()
+        self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)] if self.joins else []
+        self.kind = np.dtype(np.uint16 if size <= 1 << 16 else np.int32)  # of ids that travel
+        self.soft, self.hard = soft, hard
+        self.asked = self.encoded = self.repaired = 0  # bytes of texts, bytes of chunks encoded, joins inside words
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, table: dict[bytes, np.ndarray], chunks: dict[bytes, bytes]) -> None:
+        """Adds to a table of ids by digest the chunks that it doesn't hold, each encoded once."""
+        new = [d for d in chunks if d not in table]
+        for at in range(0, len(new), 1024):
+            some = new[at : at + 1024]
+            table.update(zip(some, self.plain([chunks[d].decode() for d in some])))
+            self.encoded += sum(len(chunks[d]) for d in some)
+
+    def transcode(self, texts: list[str], table: dict[bytes, np.ndarray] | None = None) -> tuple[list[np.ndarray], list[str]]:
+        """The ids of texts, and what these decode to. The table holds what is known of chunks, and learns."""
+        table = {} if table is None else table
+        pieces, held = [], {}
         for text in texts:
             data = text.encode()
             self.asked += len(data)
-            at, soft = cuts(data, self.soft, self.hard)
-            ends = [0, *at.tolist(), len(data)]
-            pieces.append(([data[a:b] for a, b in zip(ends, ends[1:])], soft))
-        known, new = self.chunks.again(dict.fromkeys(c for chunks, _ in pieces for c in chunks))
-        inside = [c.split() for c in new]
-        words, missing = self.words.again(set().union(*inside))
-        words |= self._made(missing)
-        made = {}
-        for c, ws in zip(new, inside):
-            parts = [words[w] for w in ws]
-            made[c] = b"".join([x[0] for x in parts]), " ".join([x[1] for x in parts if x[1]])
-        self.chunks.put(made)
-        known |= made
-        ids, said = [], []
-        for chunks, soft in pieces:
-            parts = [known[c] for c in chunks]
-            if soft.all():
-                ids.append(np.frombuffer(b"".join([x[0] for x in parts]), np.int32))
-                said.append(" ".join([x[1] for x in parts if x[1]]) if self.joins else self.decode(ids[-1:])[0])
-            else:
-                ids.append(np.concatenate(self._repaired(chunks, [np.frombuffer(x[0], np.int32) for x in parts], soft)))
-                said.append(" ".join(self._tokens(ids[-1])) if self.joins else self.decode(ids[-1:])[0])
-        return ids, said
-
-    def _repaired(self, chunks: list[bytes], ids: list[np.ndarray], soft: np.ndarray) -> list[np.ndarray]:
+            chunks, at_space = split(data, self.soft, self.hard)
+            names = list(map(digest, chunks))
+            held.update(zip(names, chunks))
+            pieces.append((chunks, names, at_space))
+        self.learn(table, held)
+        ids = []
+        for chunks, names, at_space in pieces:
+            made = [table[d] for d in names]
+            ids.append(np.concatenate(made if at_space.all() else self._repaired(chunks, made, at_space)))
+        return ids, self.decode(ids)
+
+    def _repaired(self, chunks: list[bytes], ids: list[np.ndarray], at_space: np.ndarray) -> list[np.ndarray]:
         """Joins that are not at a space are closed one after another, the closed part being the left chunk of the next."""
         done_text, done_ids, out = chunks[0], ids[0], []
-        for chunk, x, at_space in zip(chunks[1:], ids[1:], soft):
-            if at_space:
+        for chunk, x, soft in zip(chunks[1:], ids[1:], at_space):
+            if soft:
                 out.append(done_ids)
                 done_text, done_ids = chunk, x
                 continue
             done_ids = self._joined(done_text, done_ids, chunk, x)
             done_text += chunk
+            self.repaired += 1
         return [*out, done_ids]
 
     def _joined(self, a: bytes, x: np.ndarray, b: bytes, y: np.ndarray) -> np.ndarray:
         i, j = a.rfind(b" "), b.find(b" ")
         while True:
             i, j = max(i, 0), j if j >= 0 else len(b)
-            left, right = self.plain(a[i:].decode()), self.plain(b[:j].decode())
+            left, right, both = self.plain([a[i:].decode(), b[:j].decode(), (a[i:] + b[:j]).decode()])
             ends = len(left) <= len(x) and np.array_equal(x[len(x) - len(left) :], left)
             starts = len(right) <= len(y) and np.array_equal(y[: len(right)], right)
             if ends and starts:
-                return np.concatenate([x[: len(x) - len(left)], self.plain((a[i:] + b[:j]).decode()), y[len(right) :]])
+                return np.concatenate([x[: len(x) - len(left)], both, y[len(right) :]])
             if not ends:  # at the text's ends both always agree
                 i = a.rfind(b" ", 0, i)
             if not starts:
@@ -216,24 +155,70 @@ class Codec:
         return self.transcode(texts)[0]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
+        if self.joins:
+            tokens = self.tokens
+            return [" ".join([tokens[i] for i in x.tolist()]) for x in ids]
         return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
 
 
 @functools.cache
-def codec(path: str, word_bytes: int = WORD_BYTES) -> Codec:
-    return Codec(path, word_bytes=word_bytes)
+def codec(path: str) -> Codec:
+    return Codec(path)
 
 
-def _encode(path: str, decoded: bool, word_bytes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = codec(path, word_bytes)
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids, said = mine.transcode(part["text"].to_pylist())
-                offsets = np.cumsum([0, *map(len, ids)])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
-                yield pa.record_batch([part["id"], lists, *([pa.array(said, pa.string())] * decoded)], names=["id", "ids", *(["text"] * decoded)])
+def _longs(digests: list[bytes]) -> list[pa.Array]:
+    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return [pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)]
+
+
+def _digests(t: pa.Table) -> list[bytes]:
+    raw = np.stack([t[c].to_numpy() for c in ("a", "b")], axis=1).astype(np.int64).tobytes()
+    return [raw[i : i + 16] for i in range(0, len(raw), 16)]
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digests of the chunks of each group of this partition, each once."""
+    seen: dict[int, set[bytes]] = {}
+    for b in batches:
+        for g, data in zip(b["g"].to_pylist(), pc.cast(b["text"], pa.binary()).to_pylist()):
+            seen.setdefault(g, set()).update(map(digest, split(data)[0]))
+    for g, digests in seen.items():
+        yield pa.record_batch([*_longs(list(digests)), pa.array(np.full(len(digests), g))], names=["a", "b", "g"])
+
+
+def _first(path: str):
+    """Encodes the chunks of a group that other groups have too and wait for."""
+
+    def run(key: tuple, texts: pa.Table, notes: pa.Table) -> pa.Table:
+        table: dict[bytes, np.ndarray] = {}
+        if notes.num_rows and texts.num_rows:
+            wanted, found = set(_digests(notes)), {}
+            for data in pc.cast(texts["text"], pa.binary()).to_pylist():
+                for c in split(data)[0]:
+                    if (d := digest(c)) in wanted:
+                        found[d] = c
+            codec(path).learn(table, found)
+        kind = codec(path).kind
+        return pa.table([*_longs(list(table)), pa.array([x.astype(kind).tobytes() for x in table.values()], pa.binary())], names=["a", "b", "ids"])
+
+    return run
+
+
+def _group(path: str, decoded: bool, kind: pa.DataType):
+    """Encodes the texts of a group, with the ids of its shared chunks at hand."""
+
+    def run(key: tuple, texts: pa.Table, notes: pa.Table) -> pa.Table:
+        mine = codec(path)
+        shared = zip(_digests(notes), notes["ids"].to_pylist()) if notes.num_rows else ()
+        table = {d: np.frombuffer(x, mine.kind).astype(np.int32) for d, x in shared}
+        out = []
+        for at in range(0, texts.num_rows, 256):
+            part = texts.slice(at, 256)
+            ids, said = mine.transcode(part["text"].to_pylist(), table)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids)))
+            out.append(pa.table([part["id"], lists, *([pa.array(said, pa.string())] * decoded)], names=["id", "ids", *(["text"] * decoded)]))
+        fields = [pa.field("id", kind), pa.field("ids", pa.list_(pa.int32())), *([pa.field("text", pa.string())] * decoded)]
+        return pa.concat_tables(out) if out else pa.schema(fields).empty_table()
 
     return run
 
@@ -249,12 +234,23 @@ def _decode(path: str):
     return run
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, decoded: bool = False, word_bytes: int = WORD_BYTES) -> DataFrame:
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, decoded: bool = False, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """id, ids (the token ids) for every row; with `decoded`, also the text that the ids decode to."""
-    small_batches(df.sparkSession)
+    spark, path = df.sparkSession, tokenizer or default_tokenizer()
+    small_batches(spark)
     kind = df.schema[id_col].dataType.simpleString()
-    made = "ids array<int>" + ", text string" * decoded
-    return df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(_encode(tokenizer or default_tokenizer(), decoded, word_bytes), f"id {kind}, {made}")
+    text = text_or_empty(text_col)
+    total, tasks = df.select(F.sum(F.octet_length(text))).first()[0], spark.sparkContext.defaultParallelism
+    n = max(parts(total, group_bytes), 2 * tasks)
+    place = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
+    g = F.pmod(F.xxhash64(F.col(id_col), text, place), F.lit(n))
+    texts = df.select(F.col(id_col).alias("id"), text.alias("text"), g.alias("g")).repartition(n, "g")
+    held = texts.mapInArrow(_held, "a long, b long, g long").repartition(max(parts(total, 200 * DIGESTS_PER_TASK), tasks), "a", "b")
+    shared = held.groupBy("a", "b").agg(F.min("g").alias("g"), F.count("*").alias("groups")).filter("groups > 1").select("a", "b", "g")
+    first = texts.groupBy("g").cogroup(shared.repartition(n, "g").groupBy("g")).applyInArrow(_first(path), _IDS)
+    notes = held.join(first, ["a", "b"]).select("g", "a", "b", "ids").repartition(n, "g")
+    arrow = to_arrow_type(df.schema[id_col].dataType)
+    return texts.groupBy("g").cogroup(notes.groupBy("g")).applyInArrow(_group(path, decoded, arrow), f"id {kind}, ids array<int>" + ", text string" * decoded)
 
 
 def decode(df: DataFrame, tokenizer: str | None = None) -> DataFrame:
