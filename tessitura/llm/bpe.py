@@ -21,20 +21,26 @@ looked at.
 from __future__ import annotations
 
 import functools
+import json
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import parts, small_batches, text_or_empty
+from .common import durable, parts, small_batches, text_or_empty
 
-SOFT, HARD, GROUP_BYTES, DIGESTS_PER_TASK = 5, 13, 8 << 20, 1_000_000
+SOFT, HARD, GROUP_BYTES, HELD_BYTES = 5, 13, 8 << 20, 128 << 20
 _IDS = "a long, b long, ids binary"
+# The normal form that simple texts take in Python: they are in form C already, and lower their letters one by one.
+_KNOWN_STEPS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_BLANKS = re.compile("[\\t-\\r \\x85\\xa0]+")
 
 
 def default_tokenizer() -> str:
@@ -93,10 +99,34 @@ class Codec:
         self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)] if self.joins else []
         self.kind = np.dtype(np.uint16 if size <= 1 << 16 else np.int32)  # of ids that travel
         self.soft, self.hard = soft, hard
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.bare = self._bare()
         self.asked = self.encoded = self.repaired = 0  # bytes of texts, bytes of chunks encoded, joins inside words
 
+    def _bare(self):
+        """The tokenizer without its normal forms, if these are the known ones: for simple texts Python does the same faster."""
+        config = json.loads(self.tokenizer.to_str())
+        steps = config["normalizer"] or {}
+        if steps.get("normalizers", steps) != _KNOWN_STEPS:
+            return None
+        return self.tokenizer.from_str(json.dumps({**config, "normalizer": None}))
+
+    def _simple(self, text: str) -> str | None:
+        """A text in normal form by the known steps, if Unicode's tables have no part in it; None for others."""
+        if not text.isascii() and max(text) >= "\u0250":
+            return None
+        lowered = _BLANKS.sub(" ", text.lower())
+        return None if any(t in lowered for t in self.added) else lowered
+
     def plain(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        simple = [self._simple(t) for t in texts] if self.bare else [None] * len(texts)
+        out: list[np.ndarray] = [None] * len(texts)
+        for tokenizer, at in ((self.bare, [i for i, t in enumerate(simple) if t is not None]), (self.tokenizer, [i for i, t in enumerate(simple) if t is None])):
+            if at:
+                made = tokenizer.encode_batch_fast([simple[i] if tokenizer is self.bare else texts[i] for i in at], add_special_tokens=False)
+                for i, e in zip(at, made):
+                    out[i] = np.array(e.ids, np.int32)
+        return out
 
     def learn(self, table: dict[bytes, np.ndarray], chunks: dict[bytes, bytes]) -> None:
         """Adds to a table of ids by digest the chunks that it doesn't hold, each encoded once."""
@@ -163,27 +193,26 @@ class Codec:
 
 @functools.cache
 def codec(path: str) -> Codec:
+    # A worker has one core; more threads would only give it more memory to hold.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Codec(path)
 
 
-def _longs(digests: list[bytes]) -> list[pa.Array]:
+def _halves(digests: list[bytes]) -> list[np.ndarray]:
     both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-    return [pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)]
-
-
-def _digests(t: pa.Table) -> list[bytes]:
-    raw = np.stack([t[c].to_numpy() for c in ("a", "b")], axis=1).astype(np.int64).tobytes()
-    return [raw[i : i + 16] for i in range(0, len(raw), 16)]
+    return [np.ascontiguousarray(both[:, k]) for k in (0, 1)]
 
 
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The digests of the chunks of each group of this partition, each once."""
-    seen: dict[int, set[bytes]] = {}
+    """Half the digests of the chunks of this partition, each once for a group."""
     for b in batches:
+        seen: dict[int, set[bytes]] = {}
         for g, data in zip(b["g"].to_pylist(), pc.cast(b["text"], pa.binary()).to_pylist()):
             seen.setdefault(g, set()).update(map(digest, split(data)[0]))
-    for g, digests in seen.items():
-        yield pa.record_batch([*_longs(list(digests)), pa.array(np.full(len(digests), g))], names=["a", "b", "g"])
+        half = [np.unique(_halves(list(digests))[0]) for digests in seen.values()]
+        groups = [np.full(len(x), g, np.int32) for g, x in zip(seen, half)]
+        if half:
+            yield pa.record_batch([pa.array(np.concatenate(half)), pa.array(np.concatenate(groups))], names=["a", "g"])
 
 
 def _first(path: str):
@@ -192,14 +221,14 @@ def _first(path: str):
     def run(key: tuple, texts: pa.Table, notes: pa.Table) -> pa.Table:
         table: dict[bytes, np.ndarray] = {}
         if notes.num_rows and texts.num_rows:
-            wanted, found = set(_digests(notes)), {}
+            wanted, found = {a.to_bytes(8, "little", signed=True) for a in notes["a"].to_pylist()}, {}
             for data in pc.cast(texts["text"], pa.binary()).to_pylist():
                 for c in split(data)[0]:
-                    if (d := digest(c)) in wanted:
+                    if (d := digest(c))[:8] in wanted:
                         found[d] = c
             codec(path).learn(table, found)
-        kind = codec(path).kind
-        return pa.table([*_longs(list(table)), pa.array([x.astype(kind).tobytes() for x in table.values()], pa.binary())], names=["a", "b", "ids"])
+        a, b = map(pa.array, _halves(list(table)))
+        return pa.table([a, b, pa.array([x.astype(codec(path).kind).tobytes() for x in table.values()], pa.binary())], names=["a", "b", "ids"])
 
     return run
 
@@ -209,8 +238,8 @@ def _group(path: str, decoded: bool, kind: pa.DataType):
 
     def run(key: tuple, texts: pa.Table, notes: pa.Table) -> pa.Table:
         mine = codec(path)
-        shared = zip(_digests(notes), notes["ids"].to_pylist()) if notes.num_rows else ()
-        table = {d: np.frombuffer(x, mine.kind).astype(np.int32) for d, x in shared}
+        names = np.stack([notes[c].to_numpy() for c in ("a", "b")], axis=1).astype("<i8").tobytes() if notes.num_rows else b""
+        table = {names[16 * i : 16 * i + 16]: np.frombuffer(x, mine.kind).astype(np.int32) for i, x in enumerate(notes["ids"].to_pylist())}
         out = []
         for at in range(0, texts.num_rows, 256):
             part = texts.slice(at, 256)
@@ -243,12 +272,17 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     total, tasks = df.select(F.sum(F.octet_length(text))).first()[0], spark.sparkContext.defaultParallelism
     n = max(parts(total, group_bytes), 2 * tasks)
     place = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
-    g = F.pmod(F.xxhash64(F.col(id_col), text, place), F.lit(n))
-    texts = df.select(F.col(id_col).alias("id"), text.alias("text"), g.alias("g")).repartition(n, "g")
-    held = texts.mapInArrow(_held, "a long, b long, g long").repartition(max(parts(total, 200 * DIGESTS_PER_TASK), tasks), "a", "b")
-    shared = held.groupBy("a", "b").agg(F.min("g").alias("g"), F.count("*").alias("groups")).filter("groups > 1").select("a", "b", "g")
-    first = texts.groupBy("g").cogroup(shared.repartition(n, "g").groupBy("g")).applyInArrow(_first(path), _IDS)
-    notes = held.join(first, ["a", "b"]).select("g", "a", "b", "ids").repartition(n, "g")
+    g = F.pmod(F.xxhash64(F.col(id_col), text, place), F.lit(n)).cast("int")
+    rows = df.select(F.col(id_col).alias("id"), text.alias("text"), g.alias("g"))
+    # Chunks that agree in half a digest are told apart in the end: the other half comes with the ids.
+    alike = Window.partitionBy("a")
+    held = rows.mapInArrow(_held, "a long, g int").repartition(max(parts(total, HELD_BYTES), tasks), "a")
+    held = held.withColumns({"first": F.min("g").over(alike), "last": F.max("g").over(alike)})
+    shared = durable(held.filter("first < last").select("a", "g", "first").distinct(), "shared-chunks")
+    texts = rows.repartition(n, "g")
+    waited = shared.filter("g = first").select("a", "g").repartition(n, "g")
+    first = texts.groupBy("g").cogroup(waited.groupBy("g")).applyInArrow(_first(path), _IDS)
+    notes = shared.select("a", "g").join(first, "a").select("g", "a", "b", "ids").repartition(n, "g")
     arrow = to_arrow_type(df.schema[id_col].dataType)
     return texts.groupBy("g").cogroup(notes.groupBy("g")).applyInArrow(_group(path, decoded, arrow), f"id {kind}, ids array<int>" + ", text string" * decoded)
 
