@@ -40,7 +40,7 @@ SOFT, HARD, GROUP_BYTES, HELD_BYTES = 5, 13, 8 << 20, 128 << 20
 _IDS = "a long, b long, ids binary"
 # The normal form that simple texts take in Python: they are in form C already, and lower their letters one by one.
 _KNOWN_STEPS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
-_BLANKS = re.compile("[\\t-\\r \\x85\\xa0]+")
+_BLANKS, _RUN = ("\t", "\n", "\v", "\f", "\r", "\x85", "\xa0", "  "), re.compile("[\t-\r \x85\xa0]+")
 
 
 def default_tokenizer() -> str:
@@ -56,21 +56,39 @@ def gear() -> np.ndarray:
     return (z >> np.uint64(24)).astype(np.uint32)
 
 
-_GEAR = gear()
+_GEAR, WINDOW = gear(), 32
+_ROLL = 0x9E3779B1  # odd, so that it has an inverse modulo 2**32
+
+
+@functools.lru_cache(4)
+def _powers(blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of _ROLL, and of its inverse, modulo 2**32, for so many blocks of 64 Ki places."""
+    n, out = blocks << 16, []
+    for base in (_ROLL, pow(_ROLL, -1, 1 << 32)):
+        steps = np.full(n, base, np.uint32)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps, dtype=np.uint32))
+    return out[0], out[1]
 
 
 def cuts(data: bytes, soft: int = SOFT, hard: int = HARD) -> tuple[np.ndarray, np.ndarray]:
-    """Where chunks begin (without 0), and whether each of these joins is at a space."""
+    """Where chunks begin (without 0), and whether each of these joins is at a space.
+
+    The hash of the WINDOW bytes up to a place is a sum of powers of _ROLL times the bytes' numbers, taken from running
+    sums over the text; its upper bits see the whole window.
+    """
     raw = np.frombuffer(data, np.uint8)
-    h = _GEAR[raw]
-    for k in (1, 2, 4, 8, 16):  # doubles the window up to 32 bytes
-        if len(h) > k:
-            h = np.concatenate([h[:k], h[k:] + (h[:-k] << np.uint32(k))])
-    # The hash's upper bits see the whole window; bit i of it only the last i + 1 bytes.
-    before = h[:-1]
-    space = (raw[1:] == 0x20) & (before >> np.uint32(32 - soft) == 0)
-    inside = (before >> np.uint32(32 - hard) == 0) & (raw[1:] & 0xC0 != 0x80)
-    at = np.flatnonzero(space | inside)
+    n = len(raw) - 1
+    if n < 1:
+        return np.empty(0, np.int64), np.empty(0, bool)
+    up, down = _powers(1 << (n >> 16).bit_length())
+    sums = np.cumsum(_GEAR[raw[:-1]] * down[:n], dtype=np.uint32)
+    sums[WINDOW:] -= sums[:-WINDOW].copy()
+    h = sums * up[:n]
+    spaces = np.flatnonzero(raw[1:] == 0x20)
+    inside = np.flatnonzero(h < np.uint32(1 << (32 - hard)))
+    inside = inside[raw[inside + 1] & 0xC0 != 0x80]
+    at = np.union1d(spaces[h[spaces] < np.uint32(1 << (32 - soft) if soft else 0xFFFFFFFF)], inside)
     return at + 1, raw[at + 1] == 0x20
 
 
@@ -113,9 +131,14 @@ class Codec:
 
     def _simple(self, text: str) -> str | None:
         """A text in normal form by the known steps, if Unicode's tables have no part in it; None for others."""
-        if not text.isascii() and max(text) >= "\u0250":
-            return None
-        lowered = _BLANKS.sub(" ", text.lower())
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return None
+        lowered = text.lower()
+        if any(b in lowered for b in _BLANKS):
+            lowered = _RUN.sub(" ", lowered)
         return None if any(t in lowered for t in self.added) else lowered
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
