@@ -1,13 +1,16 @@
 """WARC archives in Zstandard: one frame for each record, the dictionary in a leading skippable frame.
 
 The writer makes archives of about ARCHIVE_BYTES in a folder that all executors share, under a name of its own for
-each attempt, and returns a manifest; files of attempts that were lost are in no manifest. The reader takes the
-manifest, loads an archive's dictionary from its first frame, decodes a frame at a time and checks it: the version
-line, the headers that every record must have, Content-Length against the block, the HTTP length and the digest
-against the payload, and that the frame holds one record and nothing else.
+each attempt, and returns a manifest; files of attempts that were lost are in no manifest. The reader takes a
+manifest, or the paths of any archives, loads an archive's dictionary from its first frame (which may itself be
+compressed), decodes a frame at a time and checks it: the version line, the headers that every record must have,
+Content-Length against the block, digests against block and payload in any algorithm and spelling it knows, the HTTP
+length where nothing says that the payload was changed on its way, and that the frame holds one record and nothing
+else. Records of all types are read, with their ids as text; other skippable frames are passed over.
 
 Payloads seen before become `revisit` records (those of MIN_REVISIT bytes or more, equal by SHA-256): the
-record with the smallest id holds the payload, the others refer to it.
+record with the smallest id holds the payload, the others refer to it. Which these are is worked out over ids and
+digests alone, and payloads are joined by id, so that a popular payload is no hot key.
 
 Defined cases: a null payload counts as empty; a null URL leaves the header out, and characters that can't stand in
 a header are percent-encoded; rows without an id are revisits wherever a row with an id holds their payload; rows
@@ -16,27 +19,31 @@ that repeat the smallest id are all responses; an empty table gives no archive;
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import struct
 import urllib.parse
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard as zstd
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, scratch_path, small_batches, text_or_empty
 
-SKIPPABLE = 0x184D2A5D  # fixed value: the frame that holds a WARC dictionary
+SKIPPABLE = 0x184D2A5D  # fixed value: the frame that holds a WARC dictionary; the format's skippable frames differ in four bits
+FRAME = b"\x28\xb5\x2f\xfd"  # fixed value: how a Zstandard frame begins
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value
 MIN_REVISIT, ARCHIVE_BYTES, DATE = 100, 64 << 20, "2000-01-01T00:00:00Z"
 DICT_BYTES, DICT_SAMPLES, DICT_SAMPLE_CHARS = 64 << 10, 400, 8_000  # the sample's bound
 _MANIFEST = "path string, records long, bytes long"
-_RECORDS = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
+_RECORDS = "record_id string, record_type string, date string, url string, payload binary, payload_bytes long, payload_digest string, refers_to string"
+_LOWEST = -(1 << 63)  # stands for a null id
 
 
 class BadRecord(ValueError):
@@ -71,24 +78,49 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _page(uri: str) -> int | None:
-    if not uri.startswith("<urn:page:") or not uri.endswith(">"):
-        raise BadRecord(f"not a record id: {uri}")
-    return int(uri[10:-1]) if uri[10:-1] else None
+class Record(NamedTuple):
+    record_id: str
+    record_type: str
+    date: str
+    url: str | None
+    payload: bytes  # of an HTTP message its body, of other records the block
+    payload_bytes: int | None  # of a revisit what its HTTP header says, if it does
+    payload_digest: str  # SHA-256 in lower-case hex; of a revisit as it is written, if that is another
+    refers_to: str | None
 
 
 def _headers(lines: list[bytes]) -> dict[str, str]:
-    out = {}
+    """Names in lower case; a line that begins with white space continues the one before."""
+    out: dict[str, str] = {}
+    name = ""
     for line in lines:
-        name, colon, value = line.partition(b":")
+        if line[:1] in (b" ", b"\t") and name:
+            out[name] += " " + line.decode(errors="replace").strip()
+            continue
+        raw, colon, value = line.partition(b":")
         if not colon:
             raise BadRecord(f"not a header: {line[:60]!r}")
-        out[name.decode().strip().lower()] = value.decode().strip()
+        name = raw.decode(errors="replace").strip().lower()
+        out[name] = value.decode(errors="replace").strip()
     return out
 
 
-def parse(data: bytes) -> tuple:
-    """(page_id, url, type, payload, payload bytes, digest, refers_to) of one record, or BadRecord."""
+def _digested(written: str, data: bytes) -> bool:
+    """Whether a labelled digest (hex, base32 or base64) is that of the data; an unknown algorithm can't be held against it."""
+    algorithm, _, value = written.partition(":")
+    algorithm = algorithm.lower().replace("-", "")
+    if algorithm not in ("md5", "sha1", "sha256", "sha512"):
+        return True
+    own = hashlib.new(algorithm, data).digest()
+    return value.lower() == own.hex() or value.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=") or value.rstrip("=") == base64.b64encode(own).decode().rstrip("=")
+
+
+def _bare(uri: str) -> str:
+    return uri[1:-1] if uri.startswith("<") and uri.endswith(">") else uri
+
+
+def parse(data: bytes) -> Record:
+    """One record, or BadRecord."""
     head, gap, rest = data.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
     if not gap or lines[0] not in (b"WARC/1.0", b"WARC/1.1"):
@@ -96,46 +128,69 @@ def parse(data: bytes) -> tuple:
     h = _headers(lines[1:])
     if missing := {"warc-type", "warc-record-id", "warc-date", "content-length"} - h.keys():
         raise BadRecord(f"headers missing: {sorted(missing)}")
-    length = h["content-length"]
+    length, kind = h["content-length"], h["warc-type"].lower()
     if not length.isdigit() or len(rest) != int(length) + 4 or not rest.endswith(b"\r\n\r\n"):
         raise BadRecord(f"Content-Length is {length}, the block has {len(rest) - 4} bytes")
-    http, gap, payload = rest[:-4].partition(b"\r\n\r\n")
-    first, *lines = http.split(b"\r\n")
-    if not gap or not first.startswith(b"HTTP/"):
-        raise BadRecord("no HTTP header in the block")
-    size = _headers(lines).get("content-length", "")
-    digest = h.get("warc-payload-digest", "").removeprefix("sha256:")
-    refers = None
-    if h["warc-type"] == "response":
-        if size != str(len(payload)):
+    block = rest[:-4]
+    if (written := h.get("warc-block-digest")) and not _digested(written, block):
+        raise BadRecord(f"block digest is {written}")
+    payload, http = block, None
+    if kind in ("response", "revisit", "request") and h.get("content-type", "application/http").startswith("application/http"):
+        top, gap, body = block.partition(b"\r\n\r\n")
+        first, *fields = top.split(b"\r\n")
+        if gap and (kind == "request" or first.startswith(b"HTTP/")):
+            payload, http = body, _headers([x for x in fields if b":" in x or x[:1] in (b" ", b"\t")])
+        elif kind == "response":
+            raise BadRecord("no HTTP header in the block")
+    size = (http or {}).get("content-length", "")
+    written = h.get("warc-payload-digest", "")
+    refers, count, digest = None, len(payload), None
+    if kind == "revisit":
+        if payload and http is not None:
+            raise BadRecord("a revisit with a payload")
+        refers = h.get("warc-refers-to")
+        payload, count = b"", int(size) if size.isdigit() else None
+        digest = written.removeprefix("sha256:")
+    elif kind == "response":
+        whole = "warc-truncated" not in h and not {"transfer-encoding", "content-encoding"} & (http or {}).keys()
+        if written and "warc-truncated" not in h and not _digested(written, payload):
+            raise BadRecord(f"payload digest is {written}")
+        if size and whole and size != str(len(payload)):
             raise BadRecord(f"HTTP Content-Length is {size}, the payload has {len(payload)} bytes")
-        if digest != (found := hashlib.sha256(payload).hexdigest()):
-            raise BadRecord(f"payload digest is {digest}, the payload's own {found}")
-    elif h["warc-type"] == "revisit":
-        if payload or not size.isdigit() or len(digest) != 64 or "warc-refers-to" not in h:
-            raise BadRecord("a revisit needs a length, a digest and the record it refers to, and no payload")
-        refers = _page(h["warc-refers-to"])
-    else:
-        raise BadRecord(f"type {h['warc-type']}")
     url = h.get("warc-target-uri")
-    return _page(h["warc-record-id"]), url and urllib.parse.unquote(url), h["warc-type"], payload, int(size), digest, refers
+    return Record(_bare(h["warc-record-id"]), kind, h["warc-date"], url and urllib.parse.unquote(_bare(url)), payload, count, hashlib.sha256(payload).hexdigest() if digest is None else digest, refers and _bare(refers))
+
+
+def _dictionary(raw: bytes) -> zstd.ZstdCompressionDict:
+    """A dictionary as it stands in its frame: plain, or compressed itself."""
+    return zstd.ZstdCompressionDict(zstd.ZstdDecompressor().decompressobj().decompress(raw) if raw.startswith(FRAME) else raw)
 
 
 def frames(stream, path: str = "") -> Iterator[bytes]:
     """The contents of an archive's frames, one after another; the dictionary is taken from a leading skippable frame."""
-    head = stream.read(8)
-    dictionary, left = None, head
-    if len(head) == 8 and struct.unpack("<I", head[:4])[0] == SKIPPABLE:
-        size = struct.unpack("<I", head[4:])[0]
-        raw = stream.read(size)
-        if len(raw) != size:
-            raise BadRecord(f"{path}: the dictionary is cut off")
-        dictionary, left = zstd.ZstdCompressionDict(raw), b""
-    opener = zstd.ZstdDecompressor(dict_data=dictionary) if dictionary else zstd.ZstdDecompressor()
-    while left or (left := stream.read(1 << 16)):
-        frame, out = opener.decompressobj(), []
+    opener, left, leading = zstd.ZstdDecompressor(), b"", True
+    while True:
+        while len(left) < 8 and (more := stream.read(1 << 16)):
+            left += more
+        if not left:
+            return
+        if len(left) >= 8 and struct.unpack("<I", left[:4])[0] & 0xFFFFFFF0 == SKIPPABLE & 0xFFFFFFF0:
+            magic, size = struct.unpack("<II", left[:8])
+            left = left[8:]
+            while len(left) < size and (more := stream.read(max(1 << 16, size - len(left)))):
+                left += more
+            if len(left) < size:
+                raise BadRecord(f"{path}: a skippable frame is cut off")
+            if leading and magic == SKIPPABLE and size:
+                opener = zstd.ZstdDecompressor(dict_data=_dictionary(left[:size]))
+            left, leading = left[size:], False
+            continue
+        frame, out, leading = opener.decompressobj(), [], False
         while True:
-            out.append(frame.decompress(left))
+            try:
+                out.append(frame.decompress(left))
+            except zstd.ZstdError as e:
+                raise BadRecord(f"{path}: {e}") from e
             if frame.eof:
                 left = frame.unused_data
                 break
@@ -153,14 +208,14 @@ def _write(root: str, dictionary: bytes, limit: int):
 
         def close() -> None:
             out.close()
-            done.append((path, count, store.get_file_info(path).size))
+            done.append((f"{root.rstrip('/')}/{path.rpartition('/')[2]}", count, store.get_file_info(path).size))
 
         for b in batches:
             payloads = pc.cast(b["html"], pa.binary()).to_pylist()
             for page, url, payload, digest, refers in zip(b["page_id"].to_pylist(), b["url"].to_pylist(), payloads, b["digest"].to_pylist(), b["refers_to"].to_pylist()):
                 if out is None:
                     path, count = f"{folder}/{uuid.uuid4().hex}.warc.zst", 0
-                    out = store.open_output_stream(path)
+                    out = store.open_output_stream(path, compression=None)  # not by the name: frames are packed here
                     if dictionary:
                         out.write(struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary)
                 out.write(packer.compress(record(page, url, payload, digest, refers)))
@@ -180,55 +235,67 @@ def write(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "
     """Writes the archives under `root` and returns their manifest: path, records, bytes."""
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_or_empty(payload_col).alias("html"))
-    some = rows.select(F.substring("html", 1, DICT_SAMPLE_CHARS)).filter("html != ''").limit(DICT_SAMPLES).collect()
+    # The sample is chosen by hashes, so that every run makes the same dictionary.
+    chosen = rows.filter("html != ''").select(F.xxhash64("html", "page_id").alias("o"), F.substring("html", 1, DICT_SAMPLE_CHARS)).orderBy("o").limit(DICT_SAMPLES)
+    some = [r[1:] for r in chosen.collect()]
     dictionary = train([record(0, "http://example.com/", x[0].encode(), "0" * 64, None) for x in some]) if some else b""
     rows = rows.withColumn("digest", F.sha2("html", 256))
     # Only payloads held more than once go to the join; copies are counted before the shuffle.
-    large = rows.filter(F.octet_length("html") >= MIN_REVISIT)
-    shared = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    marked = rows.join(shared, "digest", "left")
-    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    marked = marked.select("page_id", "url", "html", "digest", F.when(again, F.col("first")).alias("refers_to"))
+    key = F.coalesce("page_id", F.lit(_LOWEST)).alias("key")
+    large = durable(rows.filter(F.octet_length("html") >= MIN_REVISIT).select(key, F.unhex("digest").alias("bits")), "payloads")
+    shared = large.groupBy("bits").agg(F.min(F.nullif("key", F.lit(_LOWEST))).alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL").select("bits", "first")
+    again = durable(large.join(shared, "bits").filter("key <> first").select("key", "bits", F.col("first").alias("refers_to")).distinct(), "revisits")
+    marked = rows.withColumns({"key": key, "bits": F.unhex("digest")}).join(again, ["key", "bits"], "left").select("page_id", "url", "html", "digest", "refers_to")
     return durable(marked.mapInArrow(_write(root, dictionary, archive_bytes), _MANIFEST), "manifest")
 
 
-def _read(root: str):
+def _read(types: frozenset[str] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(root)
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64())
-        names = ("page_id", "url", "record_type", "payload", "payload_bytes", "payload_digest", "refers_to")
+        kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string())
+        pack = lambda held: pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names=Record._fields)
         for b in batches:
             for path, records in zip(b["path"].to_pylist(), b["records"].to_pylist()):
+                store, inside = fs.FileSystem.from_uri(path)
                 seen, held, size = 0, [], 0
-                pack = lambda: pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names=names)
-                with store.open_input_stream(path) as stream:
+                with store.open_input_stream(inside, compression=None) as stream:
                     for data in frames(stream, path):
                         try:
-                            held.append(parse(data))
+                            record = parse(data)
                         except BadRecord as e:
                             raise BadRecord(f"{path}, record {seen}: {e}") from e
-                        seen, size = seen + 1, size + len(data)
+                        seen += 1
+                        if types is None or record.record_type in types:
+                            held.append(record)
+                            size += len(data)
                         if size >= 4 << 20:
-                            yield pack()
+                            yield pack(held)
                             held, size = [], 0
                 if held:
-                    yield pack()
-                if seen != records:
+                    yield pack(held)
+                if records is not None and seen != records:
                     raise BadRecord(f"{path}: {seen} records, the manifest has {records}")
 
     return run
 
 
-def read(manifest: DataFrame, root: str) -> DataFrame:
-    """The records of all archives of a manifest, each archive read by one task, a frame at a time."""
-    files = manifest.repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism), F.xxhash64("path"))
-    return files.mapInArrow(_read(root), _RECORDS)
+def read(manifest: DataFrame, types: Iterable[str] | None = None) -> DataFrame:
+    """The records of all archives (path, and records where their number is known), each archive read by one task, a frame at
+    a time. With `types`, records of other types are checked and left out."""
+    files = manifest if "records" in manifest.columns else manifest.withColumn("records", F.lit(None).cast("long"))
+    files = files.select("path", "records").repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism), F.xxhash64("path"))
+    return files.mapInArrow(_read(None if types is None else frozenset(types)), _RECORDS)
+
+
+def _page(uri: Column) -> Column:
+    """The page that a record's id names, if it is one of the writer's."""
+    return F.nullif(F.regexp_extract(uri, "^urn:page:([0-9-]+)$", 1), F.lit("")).cast("long")
 
 
 def op4_warc(pages: DataFrame) -> DataFrame:
     """The contract's result: written, read back, and described without the payloads."""
     root = scratch_path(pages.sparkSession, "archives")
-    return read(write(pages, root), root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    back = read(write(pages, root), ("response", "revisit"))
+    return back.select(_page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", _page(F.col("refers_to")).alias("refers_to"))
 
 
 ORACLE = """
