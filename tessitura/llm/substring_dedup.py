@@ -6,7 +6,7 @@ anchors of WIDTH - PERIOD + 1 words at the cover's positions (three of seven): a
 aligned with its copy's. Anchors that lie in one document only are dropped; around the others, match candidates
 extend to whole windows, whose hashes decide, with the smallest id that has each.
 
-Documents are dealt to groups of about GROUP_BYTES by a hash of their id, and what is exchanged are arrays of
+Documents are dealt to groups of about GROUP_BYTES by a hash of their id (without one, by their place in the input), and what is exchanged are arrays of
 hashes for each group and hash bucket, each hash once for a group: a passage that a third of all documents share
 costs no more than one that a group holds. Three passes over a group's texts (anchors, candidates, removal)
 share one exchange of the texts. Anchors only filter and travel as 32 bits within their bucket; windows are told
@@ -31,7 +31,7 @@ from .common import parts, small_batches, text_or_empty
 
 WIDTH, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WIDTH - PERIOD + 1
-GROUP_BYTES = 8 << 20
+GROUP_BYTES, BUCKET_GROUPS = 8 << 20, 4  # a bucket holds the hashes of as much text as so many groups
 _LOWEST = -(1 << 63)
 _NOTES = "g long, bucket long, keys binary, ids binary, kind int"
 
@@ -138,10 +138,11 @@ def _shared(key: tuple, table: pa.Table) -> pa.Table:
     """Of one bucket: to each group its anchors that another document has too."""
     keys = [np.frombuffer(x, np.uint32) for x in table["keys"].to_pylist()]
     several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(table["ids"].to_pylist(), keys)]
-    found, counts = np.unique(np.concatenate(keys), return_counts=True)
-    common = np.union1d(found[counts > 1], np.concatenate([k[s] for k, s in zip(keys, several)]))
-    out = ((g, k[np.isin(k, common)]) for g, k in zip(table["g"].to_pylist(), keys))
-    return _rows([(g, key[0].as_py(), k.tobytes(), b"", 0) for g, k in out if len(k)])
+    found, number, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    common = counts > 1
+    common[number[np.concatenate(several)]] = True
+    kept = np.split(common[number], np.cumsum([len(k) for k in keys])[:-1])
+    return _rows([(g, key[0].as_py(), k[x].tobytes(), b"", 0) for g, k, x in zip(table["g"].to_pylist(), keys, kept) if x.any()])
 
 
 def _codes(notes: pa.Table) -> np.ndarray:
@@ -219,14 +220,17 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = text_or_empty(text_col)
     total = df.select(F.sum(F.octet_length(text))).first()[0]
     n = max(parts(total, group_bytes), 2 * spark.sparkContext.defaultParallelism)
+    m = max(parts(total, BUCKET_GROUPS * group_bytes), spark.sparkContext.defaultParallelism)
+    # Rows without an id are one document, but needn't be in one group: only ids are compared.
+    place = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST))
-    texts = df.select(ids.alias("id"), text.alias("text"), F.pmod(F.xxhash64(ids), F.lit(n)).alias("g")).repartition(n, "g")
-    anchors = texts.groupBy("g").applyInArrow(_emit_anchors(n), _NOTES)
-    shared = anchors.repartition(n, "bucket").groupBy("bucket").applyInArrow(_shared, _NOTES)
-    windows = texts.groupBy("g").cogroup(shared.repartition(n, "g").groupBy("g")).applyInArrow(_emit_windows(n), _NOTES)
-    smallest = windows.repartition(n, "bucket").groupBy("bucket").applyInArrow(_smallest, _NOTES)
+    texts = df.select(ids.alias("id"), text.alias("text"), F.pmod(F.xxhash64(ids, place), F.lit(n)).alias("g")).repartition(n, "g")
+    anchors = texts.groupBy("g").applyInArrow(_emit_anchors(m), _NOTES)
+    shared = anchors.repartition(m, "bucket").groupBy("bucket").applyInArrow(_shared, _NOTES)
+    windows = texts.groupBy("g").cogroup(shared.repartition(n, "g").groupBy("g")).applyInArrow(_emit_windows(m), _NOTES)
+    smallest = windows.repartition(m, "bucket").groupBy("bucket").applyInArrow(_smallest, _NOTES)
     notes = shared.unionByName(smallest).repartition(n, "g")
-    return texts.groupBy("g").cogroup(notes.groupBy("g")).applyInArrow(_remove(n), "id long, n_words long, n_removed long, text string")
+    return texts.groupBy("g").cogroup(notes.groupBy("g")).applyInArrow(_remove(m), "id long, n_words long, n_removed long, text string")
 
 
 def op6_substring_dedup(docs: DataFrame) -> DataFrame:
