@@ -2,7 +2,8 @@
 
 Each document's repeated-line keys are hashed to 128 bits, range-partitioned by (hash, document) and sorted with
 documents descending, so a key's first document in the stream is the one that keeps its lines. The stream holds
-back the rows of two documents at most; from the third on, it knows that the key is common. A key so frequent
+back the rows of the second document at most; from the third on, it knows that the key is common. Rows without an id are
+the last document of their key, after which nothing changes, so they are never held. A key so frequent
 that it crosses partitions is settled by one small row per partition edge. What comes back is, per document, a
 compressed bitmap of the lines that stay; no text passes through the sort.
 
@@ -33,9 +34,14 @@ _FLAGS = "key binary, doc long, rid long, pos array<int>, docs int, settled bool
 
 def _keys(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nameless: set[int] = set()  # texts without an id, of which one row speaks for all
         for b in batches:
             keys, docs, rids, pos = [], [], [], []
             for doc, rid, text in zip(*(c.to_pylist() for c in b.columns)):
+                if doc == _LOWEST:
+                    if rid in nameless:
+                        continue
+                    nameless.add(rid)
                 found: dict[bytes, list[int]] = {}
                 for i, line in enumerate(text.encode().lower().split(b"\n")):
                     line = line.strip()
@@ -83,7 +89,10 @@ def _stream(min_docs: int):
                 if opening:  # may continue from the partition before: left to the edges
                     out.append((k, d, r, p, int(new), False))
                 elif docs < min_docs:
-                    held.append((k, d, r, p, int(new), False))
+                    if d == first:  # keeps its lines; its first row counts it
+                        held += [(k, d, r, [], 1, False)] * new
+                    elif d != _LOWEST:
+                        held.append((k, d, r, p, int(new), False))
                 else:
                     out.extend((*x[:4], 0, True) for x in held if x[1] != first)
                     held = []
@@ -103,12 +112,13 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = durable(_rows(df, id_col, text_col).mapInArrow(_keys(min_chars), _KEYS), "line-keys")
     n = parts(keyed.count(), keys_per_task)
     flags = durable(
-        keyed.repartitionByRange(max(n, spark.sparkContext.defaultParallelism), "key", F.desc("doc")).sortWithinPartitions("key", F.desc("doc"), "rid").mapInArrow(_stream(min_docs), _FLAGS),
+        keyed.repartitionByRange(max(n, spark.sparkContext.defaultParallelism), "key", F.desc("doc"), "rid").sortWithinPartitions("key", F.desc("doc"), "rid").mapInArrow(_stream(min_docs), _FLAGS),
         "line-flags",
     )
-    # At most two keys of each partition are open, so the edges are twice the partitions at most.
+    # At most two keys of each partition are open, so the edges are twice the partitions at most; whether they are small
+    # enough to be broadcast is found out when they are there.
     edges = flags.filter(~F.col("settled")).groupBy("key").agg(F.max("doc").alias("keeper"), F.sum("docs").alias("n")).filter(F.col("n") >= min_docs)
-    late = flags.filter(~F.col("settled")).join(F.broadcast(edges), "key").filter(F.col("doc") != F.col("keeper"))
+    late = flags.filter(~F.col("settled")).join(edges, "key").filter(F.col("doc") != F.col("keeper"))
     gone = flags.filter("settled").select("doc", "rid", "pos").unionByName(late.select("doc", "rid", "pos"))
     return gone.groupBy("doc", "rid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pos")))).alias("pos"))
 
