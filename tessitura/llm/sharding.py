@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, parts, text_or_empty
 
-SHARDS, FAN, GROUPS_PER_BUCKET = 40, 500, 50_000
+SHARDS, FAN, GROUPS_PER_BUCKET, ROWS_PER_BUCKET = 40, 500, 50_000, 1_000_000
 
 
 def difference(tuples: np.ndarray) -> np.ndarray:
@@ -104,17 +104,20 @@ def assign(groups: DataFrame, shards: int = SHARDS, per_bucket: int = GROUPS_PER
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, size, text_crc32, shard, slot for every row."""
     text = text_or_empty(text_col)
+    place = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())  # spreads rows without an id; stored with them
     rows = durable(
-        docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text)).alias("digest"), F.pmod(F.xxhash64(id_col), F.lit(256)).alias("bucket")),
+        docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text)).alias("digest"), place.alias("place")),
         "sizes",
     )
+    buckets = max(64, parts(rows.count(), ROWS_PER_BUCKET))
     groups = durable(rows.groupBy("digest").agg(F.sum("size").alias("bytes")), "groups")
     placed = durable(rows.join(assign(groups, shards), "digest").drop("digest"), "placed")
-    # Slots: a rank within each of 256 hash buckets of a shard, and the count of the buckets before it.
+    # Slots: a rank within each hash bucket of a shard, and the count of the buckets before it.
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("id", "place"), F.lit(buckets)))
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     start = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("id", "text_crc32", "size"))
-    return placed.join(counts.withColumn("start", start).drop("n"), ["shard", "bucket"]).withColumn("slot", F.col("start") + rank - 1).drop("bucket", "start")
+    return placed.join(counts.withColumn("start", start).drop("n"), ["shard", "bucket"]).withColumn("slot", F.col("start") + rank - 1).drop("bucket", "start", "place")
 
 
 def op10_sharding(docs: DataFrame) -> DataFrame:
