@@ -4,9 +4,9 @@ Documents of a source are put in order of size (then of a hash of the id), each
 times, and a document is taken once per whole number that the running sum of expectations, started at one random
 offset, crosses. In order of size the taken words differ from the target by less than the largest document.
 
-The running sum is distributed: a histogram of (source, size), hash buckets within each of its cells, and a rank
-within a bucket; no task ever sees a whole source. Expectations are fixed-point numbers with 20 binary places, so
-that results don't depend on the order of additions.
+The running sum is distributed: a histogram of (source, size), hash buckets within each of its cells (as many as the
+largest cell needs), and a rank within a bucket; no task ever sees a whole source. Expectations are fixed-point numbers
+with 24 binary places, so that results don't depend on the order of additions.
 
 Defined cases: a null text has size 0; null is a source of its own, the last; null ids take part like others;
 repeated rows are documents of their own; a source of size 0 has target 0 and an empty table gives an empty result.
@@ -17,9 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES, durable, fresh, text_or_empty
+from .common import SPACE_CLASS, SPACES, durable, fresh, parts, text_or_empty
 
-WEIGHTS, CAP, SEED, PLACES = (5, 2, 1), 3, 17, 20
+WEIGHTS, CAP, SEED, PLACES, ROWS_PER_BUCKET = (5, 2, 1), 3, 17, 24, 500_000
 
 
 def word_count(column: str = "text") -> Column:
@@ -58,9 +58,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
             F.xxhash64(text_or_empty(text_col)).alias("rid"),
         ),
         "sizes",
-    ).withColumn("order", order).withColumn("bucket", F.substring("order", 1, 2))
-    buckets = rows.groupBy("source", "size", "bucket").agg(F.count("*").alias("n"))
+    )
     cells = durable(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
+    largest = cells.agg(F.max("n")).first()[0]
+    digits = max(2, -(-(parts(largest, ROWS_PER_BUCKET) - 1).bit_length() // 4))
+    rows = rows.withColumn("order", order).withColumn("bucket", F.substring("order", 1, digits))
+    buckets = rows.groupBy("source", "size", "bucket").agg(F.count("*").alias("n"))
     aims = targets(cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("total")), weights, cap)
     one = F.lit(1 << PLACES)
     step = F.when(F.col("total") == 0, F.lit(0)).otherwise(F.least(F.round(F.col("target") / F.col("total") * one).cast("long"), F.lit(cap << PLACES)))
@@ -85,14 +88,29 @@ def op2_mixing(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents with all their columns, each as many times as the mix takes it.
 
-    Rows with one id and one text are each taken as often as the one of them that is taken least.
+    Which of the rows with one id and one text are taken, and how often, can't be told apart: their copies are dealt out
+    evenly over them, in order of a hash of the whole row, so that none is lost.
     """
-    mine = {c: fresh(docs, f"mix_{c}") for c in ("id", "rid", "copies", "copy")}
-    share = mix(docs, **options).groupBy("id", "rid").agg(F.min("copies").alias("copies")).filter("copies > 0")
-    share = share.withColumnsRenamed({c: mine[c] for c in share.columns})
-    same = docs["doc_id"].eqNullSafe(share[mine["id"]]) & (F.xxhash64(text_or_empty("text")) == share[mine["rid"]])
-    each = F.explode(F.sequence(F.lit(1), F.col(mine["copies"]).cast("int")))
-    return docs.join(share, same).withColumn(mine["copy"], each).select(*docs.columns)
+    mine = {c: fresh(docs, f"mix_{c}") for c in ("id", "rid", "copies", "rows", "copy", "row", "n", "start", "all")}
+    share = durable(mix(docs, **options).groupBy("id", "rid").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), "shares")
+    taken = share.filter("copies > 0").withColumnsRenamed({c: mine[c] for c in share.columns})
+    same = docs["doc_id"].eqNullSafe(taken[mine["id"]]) & (F.xxhash64(text_or_empty("text")) == taken[mine["rid"]])
+    joined = docs.join(taken, same)
+    times = lambda n: F.explode(F.sequence(F.lit(1), n.cast("int")))
+    single = joined.filter(F.col(mine["rows"]) == 1).withColumn(mine["copy"], times(F.col(mine["copies"]))).select(*docs.columns)
+    if share.filter("rows > 1").isEmpty():
+        return single
+    # Rows alike in every column are one class; the classes of a group stand in order and share its copies by their places.
+    group = [mine["id"], mine["rid"], mine["copies"], mine["rows"], mine["row"]]
+    classes = joined.filter(F.col(mine["rows"]) > 1).withColumn(mine["row"], F.xxhash64(F.to_json(F.struct(*docs.columns)))).groupBy(*group)
+    classes = classes.agg(F.first(F.struct(*docs.columns)).alias(mine["all"]), F.count("*").alias(mine["n"]))
+    before = Window.partitionBy(mine["id"], mine["rid"]).orderBy(mine["row"]).rowsBetween(Window.unboundedPreceding, -1)
+    classes = classes.withColumn(mine["start"], F.coalesce(F.sum(mine["n"]).over(before), F.lit(0)))
+    each = F.floor(F.col(mine["copies"]) / F.col(mine["rows"]))
+    more = F.col(mine["copies"]) % F.col(mine["rows"])
+    own = F.col(mine["n"]) * each + F.greatest(F.lit(0), F.least(more, F.col(mine["start"]) + F.col(mine["n"])) - F.col(mine["start"]))
+    several = classes.withColumn(mine["copy"], own).filter(F.col(mine["copy"]) > 0).withColumn(mine["copy"], times(F.col(mine["copy"])))
+    return single.unionByName(several.select(f"{mine['all']}.*"))
 
 
 ORACLE = r"""
@@ -109,12 +127,12 @@ levels AS (
 level AS (SELECT max(level) AS level FROM levels WHERE ratio > level),
 aims AS (
   SELECT l.source, l.total, CASE WHEN v.level IS NULL OR l.ratio <= v.level THEN CAST(l.most AS DOUBLE) ELSE l.weight * v.level END AS target,
-    CAST('0x' || substr(md5('17:' || l.source), 1, 5) AS BIGINT) AS start
+    CAST('0x' || substr(md5('17:' || l.source), 1, 6) AS BIGINT) AS start
   FROM levels l, level v),
-steps AS (SELECT *, CASE WHEN total = 0 THEN 0 ELSE least(CAST(round(target / total * 1048576) AS BIGINT), 3145728) END AS step FROM aims),
+steps AS (SELECT *, CASE WHEN total = 0 THEN 0 ELSE least(CAST(round(target / total * 16777216) AS BIGINT), 50331648) END AS step FROM aims),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS rank FROM docs)
 SELECT doc_id, size, total AS source_size, target,
-  CAST(((start + (rank + 1) * step) >> 20) - ((start + rank * step) >> 20) AS BIGINT) AS copies,
-  CAST(size * (((start + (rank + 1) * step) >> 20) - ((start + rank * step) >> 20)) AS BIGINT) AS taken
+  CAST(((start + (rank + 1) * step) >> 24) - ((start + rank * step) >> 24) AS BIGINT) AS copies,
+  CAST(size * (((start + (rank + 1) * step) >> 24) - ((start + rank * step) >> 24)) AS BIGINT) AS taken
 FROM ranked JOIN steps USING (source)
 """
