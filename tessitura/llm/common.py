@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +17,8 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[str] = []
+_written: dict[tuple[str, str], list[str]] = {}  # by application and owner: folders to delete when the owner starts anew
+_owner: contextvars.ContextVar[str] = contextvars.ContextVar("owner", default="")
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -29,10 +33,41 @@ def scratch_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def _store(spark: SparkSession, path: str):
+    """A path of a store, as the JVM's objects: its file system and itself."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    path = f"{scratch_root(spark)}/llm-{uuid.uuid4().hex}/{label}"
-    _written.append(path.rpartition("/")[0])
-    return path
+    """A new folder's path. What stands there is deleted when its owner starts anew, or with the session."""
+    folder = f"{scratch_root(spark)}/llm-{uuid.uuid4().hex}"
+    if owner := _owner.get():
+        _written.setdefault((spark.sparkContext.applicationId, owner), []).append(folder)
+    store, at = _store(spark, folder)
+    store.deleteOnExit(at)
+    return f"{folder}/{label}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    store, at = _store(spark, path)
+    store.delete(at, True)
+
+
+@contextlib.contextmanager
+def owned(spark: SparkSession, owner: str) -> Iterator[None]:
+    """Scratch written inside belongs to `owner`; what the same owner wrote the last time is deleted first.
+
+    For callers that store a result before they start anew. Nobody else's scratch is touched.
+    """
+    for path in _written.pop((spark.sparkContext.applicationId, owner), []):
+        delete(spark, path)
+    token = _owner.set(owner)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
 
 
 def durable(df: DataFrame, label: str) -> DataFrame:
@@ -43,14 +78,6 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes what durable() wrote so far; only for callers whose earlier results are already stored elsewhere."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bounds Arrow batches in bytes, so that very long texts don't gather in one batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

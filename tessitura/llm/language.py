@@ -61,6 +61,7 @@ class Model:
     table: np.ndarray  # by trigram: its log probability in each language
     floor: np.ndarray  # by language: the least mean log probability of a long text that may be in it
     spread: np.ndarray  # by language: the standard deviation of a trigram's log probability
+    weight: int = TEXT_WEIGHT  # a text's evidence counts as that of so many trigrams at most, which depend on one another
 
     def score(self, text: bytes) -> tuple[np.ndarray, int]:
         """The text's log likelihoods and its number of trigrams."""
@@ -144,7 +145,7 @@ def _score(model: Model, strip: bool):
             for text in pc.cast(b["text"], pa.binary()).to_pylist():
                 s, size = model.score(_MARKUP.sub(b" ", text) if strip else text)
                 plausible.append(model.plausible(s, size))
-                s = s * min(1.0, TEXT_WEIGHT / max(size, 1))
+                s = s * min(1.0, model.weight / max(size, 1))
                 s -= s.max(initial=-np.inf) if n else 0.0
                 p = np.exp(s)
                 evidence.append(s)

@@ -1,5 +1,6 @@
 """Mixing, sharding, archives, tokens, fingerprints, languages and the pipeline."""
 
+import base64
 import collections
 import hashlib
 import io
@@ -71,8 +72,22 @@ def test_mixing_of_odd_rows(odd):
     got = mixing.op2_mixing(odd[0]).collect()
     assert len(got) == len(odd[1]) and all(r["size"] == 0 for r in got if r["doc_id"] in (3, 4, 5))
     assert mixing.mixed(odd[0]).columns == odd[0].columns
-    whole = collections.Counter(r["doc_id"] for r in mixing.mixed(odd[0]).collect())
-    assert whole[8] in {2 * r["copies"] for r in got if r["doc_id"] == 8}
+    whole, want = collections.Counter(r["doc_id"] for r in mixing.mixed(odd[0]).collect()), collections.Counter()
+    for r in got:
+        want[r["doc_id"]] += r["copies"]
+    assert whole == +want
+
+
+def test_repeated_rows_share_their_copies(spark):
+    """Rows of one id and text, alike or not in other columns, are taken as often as the mix says in all."""
+    rows = [(None, "four words of text", "a", i % 3) for i in range(60)] + [(5, "other words", "b", 0)] * 30 + [(9, "single one here now", "b", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    want, whole = collections.Counter(), collections.Counter(r["doc_id"] for r in mixing.mixed(df).collect())
+    for r in mixing.op2_mixing(df).collect():
+        want[r["doc_id"]] += r["copies"]
+    assert whole == +want and 0 < whole[None] != 60
+    kinds = collections.Counter(r["extra"] for r in mixing.mixed(df).collect() if r["doc_id"] is None)
+    assert max(kinds.values()) - min(kinds.values()) <= 20 and sum(kinds.values()) == want[None]
 
 
 def test_mixing_of_blank_texts(docs_of):
@@ -96,6 +111,36 @@ def test_differencing_beats_dealing_in_order():
     assert np.ptp(sums) <= np.ptp(greedy)
 
 
+def plain_difference(sizes, shards):
+    """The largest differencing method by lists of lists: labels by what ends up together."""
+    heap = [([s] + [0] * (shards - 1), [[i]] + [[] for _ in range(shards - 1)]) for i, s in enumerate(sizes)]
+    while len(heap) > 1:
+        heap.sort(key=lambda x: -(max(x[0]) - min(x[0])))
+        (a, la), (b, lb) = heap[0], heap[1]
+        up, down = sorted(range(shards), key=lambda i: -a[i]), sorted(range(shards), key=lambda i: b[i])
+        heap = [([a[i] + b[j] for i, j in zip(up, down)], [la[i] + lb[j] for i, j in zip(up, down)]), *heap[2:]]
+    return heap[0]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_differencing_equals_a_plain_version(seed):
+    """Distinct sizes leave no ties among large spreads, so the sums of shards must be the same."""
+    rng = np.random.default_rng(seed)
+    sizes = rng.choice(100_000, 60, replace=False) + 1
+    whole = np.zeros((60, 5), np.int64)
+    whole[:, 0] = sizes
+    labels = sharding.difference(whole)[:, 0]
+    assert sorted(np.bincount(labels, sizes, 5)) == sorted(plain_difference(sizes.tolist(), 5)[0])
+
+
+def test_rows_without_ids_get_slots(docs_of):
+    got = sharding.op10_sharding(docs_of([(None, f"text {i % 7}", "s") for i in range(500)])).collect()
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == 500 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
 def test_shards(docs_of):
     rng = random.Random(2)
     rows = [(i, prose(rng, rng.randrange(1, 60)), "s") for i in range(900)]
@@ -148,31 +193,70 @@ def test_archives_roll_and_keep_payloads(spark, tmp_path):
     root = f"file://{tmp_path}/w"
     manifest = warc.write(pages(spark, ROWS).coalesce(1), root, archive_bytes=700)
     assert manifest.count() > 1 and manifest.agg(F.sum("records")).first()[0] == len(ROWS)
-    back = {r["page_id"]: r for r in warc.read(manifest, root).collect()}
-    assert bytes(back[9]["payload"]) == b"x" * 300_000 and back[1]["url"] == "http://a/é x\r\ny" and back[2]["payload"] == b""
-
-
-def archive(records, dictionary=b"", together=False):
+    back = {r["record_id"]: r for r in warc.read(manifest).collect()}
+    assert bytes(back["urn:page:9"]["payload"]) == b"x" * 300_000 and back["urn:page:1"]["url"] == "http://a/é x\r\ny" and back["urn:page:2"]["payload"] == b""
+    assert warc.read(manifest.select("path"), ["revisit"]).select("record_type").distinct().collect() == [("revisit",)]
+    # the same pages make the same archives, whatever the order of rows: the dictionary is chosen by hashes
+    heads = set()
+    for k, rows in enumerate((ROWS, ROWS[::-1])):
+        raw = open(warc.write(pages(spark, rows), f"file://{tmp_path}/v{k}").first()["path"].removeprefix("file://"), "rb").read()
+        magic, size = struct.unpack("<II", raw[:8])
+        heads.add((magic, raw[8 : 8 + size]))
+    assert len(heads) == 1 and heads.pop()[0] == warc.SKIPPABLE
+
+
+def archive(records, dictionary=b"", together=False, packed_dictionary=False):
     packer = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-    head = struct.pack("<II", warc.SKIPPABLE, len(dictionary)) + dictionary if dictionary else b""
+    held = zstandard.ZstdCompressor().compress(dictionary) if packed_dictionary else dictionary
+    head = struct.pack("<II", warc.SKIPPABLE, len(held)) + held if dictionary else b""
     return head + (packer.compress(b"".join(records)) if together else b"".join(map(packer.compress, records)))
 
 
 def test_reader_checks_what_it_reads():
     good = warc.record(1, "http://a", b"payload", sha(b"payload"), None)
-    assert [warc.parse(x)[3] for x in warc.frames(io.BytesIO(archive([good, good], b"http payload HTTP WARC" * 20)))] == [b"payload"] * 2
+    assert [warc.parse(x).payload for x in warc.frames(io.BytesIO(archive([good, good], b"http payload HTTP WARC" * 20)))] == [b"payload"] * 2
     assert list(warc.frames(io.BytesIO(b""))) == []
-    bad = [good.replace(b"WARC/1.1", b"WARC/9"), good.replace(b"WARC-Date", b"X-Date"), good[:-1], good + b"x", good.replace(b"payload\r\n", b"paylord\r\n"), good.replace(b"Content-Length: 7", b"Content-Length: 8"), good + good, good.replace(b"response\r\nWARC-R", b"other\r\nWARC-R", 1)]
+    bad = [good.replace(b"WARC/1.1", b"WARC/9"), good.replace(b"WARC-Date", b"X-Date"), good[:-1], good + b"x", good.replace(b"payload\r\n", b"paylord\r\n"), good.replace(b"Content-Length: 7", b"Content-Length: 8"), good + good]
     for x in bad:
         with pytest.raises(warc.BadRecord):
             warc.parse(x)
-    for raw in (archive([good])[:-3], archive([good], b"d" * 99)[:40]):
+    for raw in (archive([good])[:-3], archive([good], b"d" * 99)[:40], archive([good])[:3]):
         with pytest.raises(warc.BadRecord):
             list(warc.frames(io.BytesIO(raw)))
     with pytest.raises(warc.BadRecord):  # two records in one frame
         [warc.parse(x) for x in warc.frames(io.BytesIO(archive([good, good], together=True)))]
 
 
+def foreign(kind, block, *headers, uid="<urn:uuid:12345678-1234-1234-1234-123456789abc>"):
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {uid}", "WARC-Date: 2024-05-06T07:08:09Z", *headers, f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark, tmp_path):
+    """What a crawler writes: all record types, ids of its own, SHA-1 in base32, folded headers, a compressed dictionary."""
+    body = "Grüße".encode() * 30
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nX-Long: a\r\n b\r\n\r\n"
+    sha1 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    records = [
+        foreign("warcinfo", b"software: crawler\r\n", "Content-Type: application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "Content-Type: application/http; msgtype=request", "WARC-Target-URI: <http://a/>"),
+        foreign("response", http + body, "Content-Type: application/http; msgtype=response", "WARC-Target-URI: http://a/", f"WARC-Payload-Digest: sha1:{sha1}", f"WARC-Block-Digest: sha1:{hashlib.sha1(http + body).hexdigest()}"),
+        foreign("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Length: 9\r\n\r\nabc", "WARC-Payload-Digest: blake9:xyz"),
+        foreign("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", "WARC-Refers-To: <urn:uuid:0>", f"WARC-Payload-Digest: sha1:{sha1}"),
+        foreign("metadata", b"k: v"), foreign("resource", b"\x00\xff", "Content-Type: image/png"), foreign("conversion", b"text"),
+    ]
+    raw = archive(records, b"WARC/1.0 WARC-Type: response HTTP/1.1 200 OK Content-Type" * 9, packed_dictionary=True)
+    (tmp_path / "c.warc.zst").write_bytes(raw + struct.pack("<II", warc.SKIPPABLE - 3, 4) + b"skip" + archive(records[:1]))
+    got = warc.read(spark.createDataFrame([(f"file://{tmp_path}/c.warc.zst",)], "path string")).collect()
+    assert [r["record_type"] for r in got] == ["warcinfo", "request", "response", "response", "revisit", "metadata", "resource", "conversion", "warcinfo"]
+    assert bytes(got[2]["payload"]) == body and got[2]["payload_digest"] == sha(body) and got[2]["record_id"] == "urn:uuid:12345678-1234-1234-1234-123456789abc"
+    assert got[1]["url"] == "http://a/" and got[4]["refers_to"] == "urn:uuid:0" and got[4]["payload_bytes"] is None and got[4]["payload_digest"] == f"sha1:{sha1}"
+    assert bytes(got[6]["payload"]) == b"\x00\xff" and got[0]["date"] == "2024-05-06T07:08:09Z"
+    for wrong in (records[2].replace(sha1.encode(), b"A" * 32), records[2].replace(b"Block-Digest: sha1:", b"Block-Digest: sha1:0")):
+        with pytest.raises(warc.BadRecord):
+            warc.parse(wrong)
+
+
 # Tokens
 
 
@@ -385,6 +469,64 @@ def test_evidence_decides_where_the_text_does_not(spark, spoken):
     assert [got[i]["language"] for i in (200, 201, 202, 203, 204)] == ["de", "fr", "es", None, "fr"] and not got[203]["kept"]
 
 
+def plain_fusion(rows, langs):
+    """(evidence, own, n, markup, host) to (language, probability), by dictionaries and loops."""
+    ks = range(len(langs))
+    levels = {"suffix": lambda h: h.rpartition(".")[2], "domain": lambda h: ".".join(h.split(".")[-2:]), "host": lambda h: h}
+    sums = {name: collections.defaultdict(lambda: [0.0] * len(langs)) for name in levels}
+    whole, agree, said = [0.0] * len(langs), 0.0, 0
+    for evidence, own, n, markup, host in rows:
+        if not n:
+            continue
+        for k in ks:
+            whole[k] += own[k]
+            for name, of in levels.items():
+                if host is not None:
+                    sums[name][of(host)][k] += own[k]
+        if markup and markup.lower() in langs:
+            agree, said = agree + own[langs.index(markup.lower())], said + 1
+    trust = min(0.99, max(0.5, (agree + 9) / (said + 10)))
+    out = []
+    for evidence, own, n, markup, host in rows:
+        mine = own if n else [0.0] * len(langs)
+        prior = [(whole[k] - mine[k] + 1) / (sum(whole) + len(langs)) for k in ks]
+        for name, of in levels.items():
+            there = [x - y for x, y in zip(sums[name][of(host)], mine)] if host is not None and of(host) in sums[name] else [0.0] * len(langs)
+            size = max(sum(there), 0.0) if host is not None else 0.0
+            prior = [(max(there[k], 0.0) + language.PULL * prior[k]) / (size + language.PULL) for k in ks]
+        known = bool(markup) and markup.lower() in langs
+        score = [evidence[k] + np.log(prior[k]) + (np.log(trust if langs[k] == markup.lower() else (1 - trust) / max(1, len(langs) - 1)) if known else 0.0) for k in ks]
+        p = np.exp(np.array(score) - max(score))
+        out.append((langs[int(np.argmax(score))] if n else None, float(p.max() / p.sum())))
+    return out
+
+
+def test_fusion_equals_a_plain_version(spark):
+    """All documents and pages of the smallest tables."""
+    data = "/root/testdata/sf0.001"
+    docs, page = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/pages.parquet")
+    model = language.train(docs)
+    rows = language.scored(language.of_documents(docs), model).unionByName(language.scored(language.of_pages(page), model, strip=True))
+    key = lambda r: (r["page_id"] is None, r["page_id"] if r["doc_id"] is None else r["doc_id"])
+    held = sorted(rows.collect(), key=key)
+    got = {key(r): r for r in language.fuse(rows, model).collect()}
+    want = plain_fusion([(r["evidence"], r["own"], r["n"], r["markup"], r["host"]) for r in held], list(model.languages))
+    assert len(held) == len(got) > 200
+    for r, (lang, p) in zip(held, want):
+        assert got[key(r)]["language"] == lang and abs(got[key(r)]["probability"] - p) < 1e-6, key(r)
+    # and the evidence itself, by counting trigrams one at a time
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in held[:40]:
+        if r["doc_id"] is not None:
+            letters = "".join(c if ord(c) > 127 else c.lower() if c.isalpha() else " " for c in text[r["doc_id"]])
+            raw = b" " + " ".join(x for x in letters.split(" ") if x).encode() + b" "
+            grams = [raw[i : i + 3] for i in range(len(raw) - 2)]
+            assert r["n"] == len(grams)
+            logs = sum((model.table[(int.from_bytes(g, "big") * 2654435761 % 2**32) >> (32 - language.HASH_BITS)].astype(float) for g in grams), np.zeros(len(model.languages)))
+            scaled = logs * min(1.0, model.weight / max(len(grams), 1))
+            assert np.allclose(np.array(r["evidence"]), scaled - scaled.max(), atol=1e-3)
+
+
 def test_languages_of_odd_rows(spark, odd, spoken):
     model = language.train(spoken[1])
     got = {}
