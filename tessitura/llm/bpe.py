@@ -23,7 +23,6 @@ from __future__ import annotations
 import functools
 import json
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +35,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import durable, parts, small_batches, text_or_empty
 
-SOFT, HARD, GROUP_BYTES, HELD_BYTES = 5, 13, 8 << 20, 128 << 20
+SOFT, HARD, GROUP_BYTES, HELD_BYTES = 6, 13, 8 << 20, 128 << 20
 _IDS = "a long, b long, ids binary"
 # The normal form that simple texts take in Python: they are in form C already, and lower their letters one by one.
 _KNOWN_STEPS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
-_BLANKS, _RUN = ("\t", "\n", "\v", "\f", "\r", "\x85", "\xa0", "  "), re.compile("[\t-\r \x85\xa0]+")
+_BLANKS = "\t\n\v\f\r\x85\xa0"
 
 
 def default_tokenizer() -> str:
@@ -129,33 +128,36 @@ class Codec:
             return None
         return self.tokenizer.from_str(json.dumps({**config, "normalizer": None}))
 
-    def _simple(self, text: str) -> str | None:
-        """A text in normal form by the known steps, if Unicode's tables have no part in it; None for others."""
-        if not text.isascii():
+    def _simple(self, texts: list[str]) -> list[str] | None:
+        """Texts in normal form by the known steps, if Unicode's tables have no part in any of them; None otherwise."""
+        if self.bare is None:
+            return None
+        joined = "\0".join(texts)
+        if not joined.isascii():
             try:
-                text.encode("latin-1")
+                joined.encode("latin-1")
             except UnicodeEncodeError:
                 return None
-        lowered = text.lower()
-        if any(b in lowered for b in _BLANKS):
-            lowered = _RUN.sub(" ", lowered)
-        return None if any(t in lowered for t in self.added) else lowered
+        for blank in _BLANKS:
+            joined = joined.replace(blank, " ")
+        while "  " in joined:
+            joined = joined.replace("  ", " ")
+        joined = joined.lower()
+        out = joined.split("\0")
+        return out if len(out) == len(texts) and not any(t in joined for t in self.added) else None
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
-        simple = [self._simple(t) for t in texts] if self.bare else [None] * len(texts)
-        out: list[np.ndarray] = [None] * len(texts)
-        for tokenizer, at in ((self.bare, [i for i, t in enumerate(simple) if t is not None]), (self.tokenizer, [i for i, t in enumerate(simple) if t is None])):
-            if at:
-                made = tokenizer.encode_batch_fast([simple[i] if tokenizer is self.bare else texts[i] for i in at], add_special_tokens=False)
-                for i, e in zip(at, made):
-                    out[i] = np.array(e.ids, np.int32)
-        return out
+        simple = self._simple(texts)
+        if simple is None and self.bare and len(texts) > 32:  # one odd text among many mustn't slow all of them
+            return [x for at in range(0, len(texts), 32) for x in self.plain(texts[at : at + 32])]
+        tokenizer = self.tokenizer if simple is None else self.bare
+        return [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts if simple is None else simple, add_special_tokens=False)]
 
     def learn(self, table: dict[bytes, np.ndarray], chunks: dict[bytes, bytes]) -> None:
         """Adds to a table of ids by digest the chunks that it doesn't hold, each encoded once."""
         new = [d for d in chunks if d not in table]
-        for at in range(0, len(new), 1024):
-            some = new[at : at + 1024]
+        for at in range(0, len(new), 256):
+            some = new[at : at + 256]
             table.update(zip(some, self.plain([chunks[d].decode() for d in some])))
             self.encoded += sum(len(chunks[d]) for d in some)
 
