@@ -15,17 +15,17 @@ from typing import NamedTuple
 from .window import PAYLOAD, SNIFF, STRUCTURE, Bounded
 
 # The identifiers of older ID3v2 revisions and those they became; frames of v2.2 that have no successor.
-RENAMED = dict(
-    pair.split("=")
-    for pair in (
-        "IPLS=TIPL TORY=TDOR TYER=TDRC BUF=RBUF CNT=PCNT COM=COMM CRA=AENC ETC=ETCO GEO=GEOB IPL=TIPL MCI=MCDI MLL=MLLT "
-        "POP=POPM REV=RVRB SLT=SYLT STC=SYTC TAL=TALB TBP=TBPM TCM=TCOM TCO=TCON TCR=TCOP TDY=TDLY TEN=TENC TFT=TFLT "
-        "TKE=TKEY TLA=TLAN TLE=TLEN TMT=TMED TOA=TOPE TOF=TOFN TOL=TOLY TOR=TDOR TOT=TOAL TP1=TPE1 TP2=TPE2 TP3=TPE3 "
-        "TP4=TPE4 TPA=TPOS TPB=TPUB TRC=TSRC TRK=TRCK TSS=TSSE TT1=TIT1 TT2=TIT2 TT3=TIT3 TXT=TEXT TXX=TXXX TYE=TDRC "
-        "UFI=UFID ULT=USLT WAF=WOAF WAR=WOAR WAS=WOAS WCM=WCOM WCP=WCOP WPB=WPUB WXX=WXXX"
-    ).split()
-)
-KEPT = frozenset("CRM EQU LNK PIC RVA TDA TIM TRD TSI".split())
+RENAMED = {
+    "IPLS": "TIPL", "TORY": "TDOR", "TYER": "TDRC", "BUF": "RBUF", "CNT": "PCNT", "COM": "COMM", "CRA": "AENC", "ETC": "ETCO",
+    "GEO": "GEOB", "IPL": "TIPL", "MCI": "MCDI", "MLL": "MLLT", "POP": "POPM", "REV": "RVRB", "SLT": "SYLT", "STC": "SYTC",
+    "TAL": "TALB", "TBP": "TBPM", "TCM": "TCOM", "TCO": "TCON", "TCR": "TCOP", "TDY": "TDLY", "TEN": "TENC", "TFT": "TFLT",
+    "TKE": "TKEY", "TLA": "TLAN", "TLE": "TLEN", "TMT": "TMED", "TOA": "TOPE", "TOF": "TOFN", "TOL": "TOLY", "TOR": "TDOR",
+    "TOT": "TOAL", "TP1": "TPE1", "TP2": "TPE2", "TP3": "TPE3", "TP4": "TPE4", "TPA": "TPOS", "TPB": "TPUB", "TRC": "TSRC",
+    "TRK": "TRCK", "TSS": "TSSE", "TT1": "TIT1", "TT2": "TIT2", "TT3": "TIT3", "TXT": "TEXT", "TXX": "TXXX", "TYE": "TDRC",
+    "UFI": "UFID", "ULT": "USLT", "WAF": "WOAF", "WAR": "WOAR", "WAS": "WOAS", "WCM": "WCOM", "WCP": "WCOP", "WPB": "WPUB",
+    "WXX": "WXXX",
+}
+KEPT = frozenset(("CRM", "EQU", "LNK", "PIC", "RVA", "TDA", "TIM", "TRD", "TSI"))
 DESCRIBED = frozenset(("TXXX", "WXXX", "COMM", "USLT"))
 _TEXT_FRAMES = frozenset(("GRP1", "MVNM", "MVIN"))
 

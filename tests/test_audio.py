@@ -126,24 +126,24 @@ def test_trailing_tags_in_any_order_and_first_of_each_format():
 
 def test_mp3_constant_bitrate():
     found = layout(a.mp3_frames(400))
-    assert found.playing.basis == "constant-bitrate-from-edges" and found.playing.samples == round(400 * 417 / (144 * 128000 / 44100)) * 1152
+    assert found.playing.basis == "steady-rate" and found.playing.samples == round(400 * 417 / (144 * 128000 / 44100)) * 1152
 
 
 def test_mp3_summary():
     frames = a.mp3_frames(100)
     data = a.xing_frame(100, 101 * 417) + frames
     found = layout(data)
-    assert found.playing.basis == "summary-header" and found.playing.samples == 100 * 1152 - 1576
-    assert layout(a.xing_frame(100, 101 * 417, good_crc=False) + frames).playing.problem == "summary-crc-fails"
-    assert layout(a.xing_frame(100, 300 * 417) + frames).playing.problem == "summary-disagrees"
+    assert found.playing.basis == "counted" and found.playing.samples == 100 * 1152 - 1576
+    assert layout(a.xing_frame(100, 101 * 417, good_crc=False) + frames).playing.problem == "summary-damaged"
+    assert layout(a.xing_frame(100, 300 * 417) + frames).playing.problem == "summary-of-another-length"
     junk = layout(data + b"\1" * 9000)
-    assert junk.playing.basis == "summary-header-to-frame-end" and any(c.kind == "bytes-after-audio" for c in junk.conditions)
-    assert layout(a.xing_frame(1, 101 * 417, delay=3000, padding=3000) + frames).playing.problem == "gapless-exceeds-stream"
+    assert junk.playing.basis == "counted-with-trailer" and any(c.kind == "bytes-after-audio" for c in junk.conditions)
+    assert layout(a.xing_frame(1, 101 * 417, delay=3000, padding=3000) + frames).playing.problem == "more-trimmed-than-coded"
 
 
 def test_mp3_variable_without_summary():
     other = bytes.fromhex("fffb50c0") + b"\x55" * (208 - 4)  # 64 kbit/s
-    assert layout(a.mp3_frames(50) + other * 100).playing.problem == "not-constant-bitrate"
+    assert layout(a.mp3_frames(50) + other * 100).playing.problem == "rate-varies-uncounted"
 
 
 def test_no_audio():
@@ -153,11 +153,11 @@ def test_no_audio():
 
 def test_flac_durations():
     sure = layout(a.flac(5, total=5 * 4096), "flac")
-    assert sure.playing.basis == "stream-info-confirmed" and sure.playing.samples == 20480 and sure.playing.seconds == 0
-    assert layout(a.flac(5, total=0, last=1000), "flac").playing.basis == "short-final-block"
-    assert layout(a.flac(5, total=0), "flac").playing.basis == "ends-at-trailing-tags"
-    assert layout(a.flac(5, total=0, tail=b"\1" * 50), "flac").playing.problem == "last-frames-unaccounted"
-    assert layout(a.flac(5)[:-3], "flac").playing.basis == "truncated"
+    assert sure.playing.basis == "total-reached" and sure.playing.samples == 20480 and sure.playing.seconds == 0
+    assert layout(a.flac(5, total=0, last=1000), "flac").playing.basis == "last-block-short"
+    assert layout(a.flac(5, total=0), "flac").playing.basis == "whole-frame-at-end"
+    assert layout(a.flac(5, total=0, tail=b"\1" * 50), "flac").playing.problem == "end-unknown"
+    assert layout(a.flac(5)[:-3], "flac").playing.basis == "cut-in-last-frame"
     assert any(c.kind == "bytes-after-audio" for c in layout(a.flac(5, tail=b"\1" * 50), "flac").conditions)
 
 
@@ -218,7 +218,7 @@ def test_free_format():
     head = bytes.fromhex("fffb00c0")
     stream = (head + b"\x11" * 300) * 12
     found = layout(stream)
-    assert found.audio[0] == 0 and found.playing.problem == "free-format-without-header"
+    assert found.audio[0] == 0 and found.playing.problem == "free-rate-uncounted"
     assert audio.audio_bytes(found, lambda p, n: stream[p : p + n])[0] == 0
 
 
@@ -248,7 +248,7 @@ def test_damage_never_raises_and_reads_within_the_ceiling(format, policy):
 def test_edges_alone_are_read():
     data = a.id3v2(a.text_frame("TPE1", "x")) + a.xing_frame(3000, 3001 * 417) + a.mp3_frames(3000) + a.id3v1("t")
     r = in_memory(data)
-    assert audio.analysed(r, "mp3").playing.basis == "summary-header" and r.pulled <= 2 * 64 * 1024
+    assert audio.analysed(r, "mp3").playing.basis == "counted" and r.pulled <= 2 * 64 * 1024
 
 
 def test_mpeg_lengths():
