@@ -4,9 +4,9 @@ Normalized: compatibility decomposition, no default-ignorables, no marks on Lati
 folding, a few letters spelled out, recomposition. Literal: recomposition alone. In both, lone surrogates become
 U+FFFD. The rules are applied to a string once.
 
-In Spark, text of ASCII and of those Latin characters that become one character or a fixed pair is prepared by
-JVM functions, from tables that the Python rules fill; only other text goes through a vectorized UDF, to which
-all other rows look null.
+In Spark all of it runs in generated JVM code: the normal forms are ICU's, which Spark ships for its collations,
+called as expressions; the rest are regular expressions and replacements. ASCII text needs the lower case alone. The
+Python rules prepare constants, and everything where a session has no JVM at hand (Spark Connect), by a vectorized UDF.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import re
 import unicodedata
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,73 +108,83 @@ def prepared(text: str, literally: bool) -> str:
     return literal(text) if literally else normalized(text)
 
 
-_JVM_LIMIT = 0x250  # characters below it are handled by tables, but for those that become more than a pair
+def _set(ranges: tuple[tuple[int, int], ...]) -> str:
+    """The ranges within a character class of Java."""
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
 
 
-def _ranges(codes: list[int]) -> str:
-    """A character class of sorted code points, as ranges."""
-    out, begin = [], None
-    for i, c in enumerate(codes):
-        begin = c if begin is None else begin
-        if i + 1 == len(codes) or codes[i + 1] != c + 1:
-            out.append(f"\\x{{{begin:x}}}-\\x{{{c:x}}}")
-            begin = None
-    return "[" + "".join(out) + "]"
+# Marks and ignorable characters are looked for at marks alone, which most text hasn't.
+_IGNORED = f"[\\x{{ad}}-\\x{{e0fff}}&&[{_set(IGNORABLE)}]]+"
+_BARE_MARKS = f"[\\x{{300}}-\\x{{10ffff}}&&\\p{{M}}]+(?<=[{_set(LATIN_GREEK)}]\\p{{M}}{{1,255}})"
+_DOTS = "\\x{308}(?<=[\\x{435}\\x{415}]\\p{M}{1,255})"
+# Lower-case letters that fold to another one, beside those spelled out.
+_REFOLDED = {
+    "\u03c2": "\u03c3", "\u0131": "i", "\u0345": "\u03b9",
+    "\u1c80": "\u0432", "\u1c81": "\u0434", "\u1c82": "\u043e", "\u1c83": "\u0441", "\u1c84": "\u0442",
+    "\u1c85": "\u0442", "\u1c86": "\u044a", "\u1c87": "\u0463", "\u1c88": "\ua64b",
+}
 
 
-@functools.cache
-def _tables() -> tuple[str, str, tuple[tuple[str, str], ...], str]:
-    """For the JVM: characters and their replacements one to one, those that become two, and a class of all handled."""
-    ones, pairs, handled = [], [], list(range(0x80))
-    for code in range(0x41, _JVM_LIMIT):
-        c = chr(code)
-        new = normalized(c)
-        if 0x5A < code < 0x80 or _kind(c)[0] or unicodedata.category(c) == "Cc":
-            continue
-        if len(new) == 1 or c in ("ß", "æ", "Æ", "œ", "Œ", "þ", "Þ"):
-            handled += [code] * (code >= 0x80)
-            if len(new) == 1 and new != c:
-                ones.append((c, new))
-            elif len(new) > 1:
-                pairs.append((c, new))
-    return "".join(a for a, _ in ones), "".join(b for _, b in ones), tuple(pairs), "^" + _ranges(handled) + "*\\z"
+def _jvm():
+    """The JVM of this session; None where there is none at hand."""
+    try:
+        from pyspark.sql.utils import is_remote
 
+        return None if is_remote() else SparkContext._active_spark_context._jvm
+    except (AttributeError, ImportError):
+        return None
 
-def _jvm(c: Column) -> Column:
-    old, new, pairs, _ = _tables()
-    for a, b in pairs:
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return F.translate(c, old, new)
 
+def _normal_form(c: Column, name: str, compatible: bool) -> Column:
+    """ICU's Normalizer.compose or .decompose as an expression; bytes that are no text become U+FFFD on the way."""
+    from pyspark.sql.classic.column import _to_seq
 
-def _ascii(c: Column) -> Column:
-    return F.octet_length(c) == F.char_length(c)
+    sc, jvm = SparkContext._active_spark_context, _jvm()
+    made, objects = jvm.org.apache.spark.sql.classic.ExpressionUtils, jvm.org.apache.spark.sql.catalyst.expressions.objects
+    of = lambda n: jvm.java.lang.Class.forName(n, True, jvm.java.lang.Thread.currentThread().getContextClassLoader())
+    seq = lambda *xs: _to_seq(sc, list(xs))
+    java_string, nothing = jvm.org.apache.spark.sql.types.ObjectType(of("java.lang.String")), jvm.scala.Option.empty()
+    spark_string = getattr(getattr(jvm.org.apache.spark.sql.types, "StringType$"), "MODULE$")
+    text = objects.Invoke(made.expression(c._jc), "toString", java_string, seq(), seq(), True, True, True)
+    form = objects.StaticInvoke(of("com.ibm.icu.text.Normalizer"), java_string, name, seq(text, made.expression(F.lit(compatible)._jc)), seq(), True, True, True, nothing)
+    back = objects.StaticInvoke(of("org.apache.spark.unsafe.types.UTF8String"), spark_string, "fromString", seq(form), seq(), True, True, True, nothing)
+    return Column(made.column(back))
 
 
-def _simple(c: Column, literally: bool) -> Column:
-    # Below U+0300 text is in normal form C already.
-    return _ascii(c) | (c.rlike("^[\\x00-\\u02ff]*\\z") if literally else c.rlike(_tables()[3]))
+def _folded(c: Column) -> Column:
+    singles = {**{k: v for k, v in SPELLED.items() if len(v) == 1}, **_REFOLDED}
+    rare = "[" + "".join(f"\\x{{{ord(x):x}}}" for x in (*SPELLED, *_REFOLDED)) + "]"
 
+    def respelled(x: Column) -> Column:
+        out = F.translate(x, "".join(singles), "".join(singles.values()))
+        for old, new in SPELLED.items():
+            if len(new) > 1:
+                out = F.replace(out, F.lit(old), F.lit(new))
+        return F.when(x.rlike(rare), out).otherwise(x)
 
-def _easy(c: Column, literally: bool) -> Column:
-    return c if literally else F.when(_ascii(c), F.lower(c)).otherwise(_jvm(c))
+    # A lambda variable is computed once, however often it is used.
+    return F.element_at(F.transform(F.array(F.lower(c)), respelled), 1)
 
 
-def _udf(literally: bool, bag: bool):
-    """The Python side over Arrow arrays; batches in which every row was prepared by the JVM pass untouched."""
-    one = literal if literally else normalized
+def _prepared_in_jvm(c: Column, literally: bool) -> Column:
+    ascii_ = F.octet_length(c) == F.char_length(c)
+    if literally:
+        return F.when(ascii_, c).otherwise(_normal_form(c, "compose", False))
+    bare = F.regexp_replace(F.regexp_replace(_normal_form(c, "decompose", True), _IGNORED, ""), _BARE_MARKS, "")
+    return F.when(ascii_, F.lower(c)).otherwise(_normal_form(_folded(F.regexp_replace(bare, _DOTS, "")), "compose", False))
 
-    def strings(a: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else one(x) for x in a.to_pylist()], pa.string())
+
+def _udf(literally: bool, bag: bool):
+    """The Python rules over Arrow arrays, each distinct string of a batch once."""
 
     def scalars(a: pa.Array) -> pa.Array:
-        return a if a.null_count == len(a) else strings(a)
+        coded = a.dictionary_encode()
+        words = pa.array([None if x is None else prepared(x, literally) for x in coded.dictionary.to_pylist()], pa.string())
+        return words.take(coded.indices)
 
     def bags(a: pa.Array) -> pa.Array:
-        if not len(a.flatten()):
-            return a
-        rows = [None if x is None else [None if y is None else one(y) for y in x] for x in a.to_pylist()]
-        return pa.array(rows, pa.list_(pa.string()))
+        ends = pa.compute.cumulative_sum(pa.compute.fill_null(pa.compute.list_value_length(a), 0))
+        return pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), scalars(a.flatten()), mask=a.is_null())
 
     for f in (scalars, bags):
         f.__annotations__ = {"a": pa.Array, "return": pa.Array}
@@ -181,14 +193,9 @@ def _udf(literally: bool, bag: bool):
 
 def prepare(c: Column, literally: bool, bag: bool) -> Column:
     """A string column, or an array of strings, prepared; nulls stay."""
-    slow = _udf(literally, bag)
-    if not bag:
-        return F.when(_simple(c, literally), _easy(c, literally)).otherwise(slow(F.when(~_simple(c, literally), c)))
-    plain = F.forall(c, lambda x: F.coalesce(_simple(x, literally), F.lit(True)))
-    return F.when(plain, F.transform(c, lambda x: _easy(x, literally))).when(
-        # Rows that are done already send an empty array: Arrow's writer takes quadratic time over null ones.
-        c.isNotNull(), slow(F.when(~plain, c).otherwise(F.array().cast("array<string>")))
-    )
+    if _jvm() is None:
+        return _udf(literally, bag)(c)
+    return F.transform(c, lambda x: _prepared_in_jvm(x, literally)) if bag else _prepared_in_jvm(c, literally)
 
 
 def trim(c: Column) -> Column:
