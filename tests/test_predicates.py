@@ -175,6 +175,28 @@ def test_errors(catalog, text, code, marked):
     assert code in str(e.value)
 
 
+@pytest.mark.parametrize("pattern", [r"[a-\d]", r"\p{IsNoSuch}", r"\p{Nope}", "a{3,1}", "[b-a]", "(", r"a\q"])
+def test_invalid_patterns_never_reach_a_task(catalog, pattern):
+    with pytest.raises(PredicateError) as e:
+        compiled(f'artist =~ r"{pattern}"', catalog[1])
+    assert e.value.diagnostics[0].code == "invalid-pattern"
+
+
+WORDS = [
+    (r"^\w$", "\u2168", False), (r"^\w$", "\u093e", False), (r"^\w$", "\u0301", True), (r"^\w$", "\u203f", True), (r"^\w$", "\u0669", True), (r"^\W$", "\u2168", True), (r"^[\w-]$", "\u093e", False), (r"^[\W]$", "\u093e", True),
+    (r"^[^\w]$", "\u2168", True), (r"a\b", "a\u2168", True), (r"a\B", "a\u2168", False), (r"a\b", "a\u200d", False), (r"a\B", "ab", True), (r"(?x)^[ ]$", " ", True), (r"(?x)^[#]$", "#", True), (r"^[\d-z]$", "-", True), (r"^[a-c-[b]]$", "b", False),
+    (r"^[a-c-[b]]$", "c", True), (r"^[\x41-\u0043]$", "B", True), (r"^[\t-\r]$", "\n", True), (r"^[&&~^]$", "&", True), (r"^[\]]$", "]", True), (r"^.$", "\u2028", True), (r"^[\cA-\cC]$", "\x02", True),
+]
+
+
+def test_classes_and_boundaries_of_the_dialect(spark):
+    df = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(WORDS)], "i int, t string")
+    names = frame_catalog(df, {"t": ("string", "1..1")})
+    for i, (pattern, t, want) in enumerate(WORDS):
+        got = df.filter(f"i = {i}").select(compiled(f'LITERALLY(t) =~ r"{pattern}"', names).truth.alias("x")).first()["x"]
+        assert got is want, (pattern, t)
+
+
 def test_all_semantic_errors_are_reported_in_order(catalog):
     with pytest.raises(PredicateError) as e:
         compiled('nosuch == 1 AND v != 1 AND artist == 5 AND "x" AS NUMBER > 1', catalog[1])
