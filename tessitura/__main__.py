@@ -18,9 +18,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     for name in ("list", "hash"):
         p = commands.add_parser(name)
         p.add_argument("paths", nargs="+")
-        p.add_argument("--format", default="")
-        p.add_argument("--no-warn", default="")
-        p.add_argument("--strict", action="store_true")
+        p.add_argument("-o", "--output", "--format", dest="format", default="")
+        p.add_argument("--no-warn", nargs="?", const="")
+        p.add_argument("--strict", "--strict-exit-code", dest="strict", action="store_true")
         if name == "list":
             p.add_argument("--filter")
         else:

@@ -52,7 +52,8 @@ def number(value: Decimal, wide: bool) -> Column:
 def widened(c: Column) -> Column:
     c = c.cast(NARROW)
     whole = F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)).cast(WHOLE)
-    return F.when(c.isNotNull(), F.struct(whole.alias("i"), (c - whole).cast(PART).alias("f")))
+    part = c % F.lit(1).cast("decimal(1,0)")  # a difference would lose the last place
+    return F.when(c.isNotNull(), F.struct(whole.alias("i"), part.cast(PART).alias("f")))
 
 
 def _wide(digits: Column, places: Column, negative: Column) -> Column:
@@ -75,11 +76,14 @@ def _group(c: Column, pattern: str, k: int) -> Column:
 
 
 def number_from_text(c: Column) -> Column:
-    """Text that is a number literal and nothing else. What a narrow decimal holds is cast; only longer text is taken apart."""
-    short = c.rlike(r"^[+-]?(?:[0-9]{1,20}(?:\.[0-9]{1,9})?|\.[0-9]{1,9})\z")
+    """Text that is a number literal and nothing else. Whole numbers of a long and what a narrow decimal holds are cast;
+    only longer text is taken apart."""
+    small = c.rlike(r"^[+-]?[0-9]{1,18}\z")
     shaped = c.rlike(r"^[+-]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)\z")
+    short = c.rlike(r"^[+-]?(?:[0-9]{1,20}(?:\.[0-9]{1,9})?|\.[0-9]{1,9})\z")
     long = _wide(_group(c, _NUMBER, 2), _group(c, _NUMBER, 3), _group(c, _NUMBER, 1) == "-")
-    return F.when(short, widened(c.try_cast(NARROW))).when(shaped, long)
+    whole = F.struct(c.try_cast("bigint").cast(WHOLE).alias("i"), F.lit(Decimal(0)).cast(PART).alias("f"))
+    return F.when(small, whole).when(shaped, F.when(short, widened(c.try_cast(NARROW))).otherwise(long))
 
 
 def _integer(c: Column, pattern: str, k: int, by: int = 1) -> Column:

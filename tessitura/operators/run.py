@@ -20,18 +20,28 @@ FORMATS = ("plain", "json")
 
 
 def choice(written: str | None, known: tuple[str, ...]) -> str:
-    """One of the known names, whatever its case and dashes; the first for a blank."""
-    name = (written or "").strip().lower().replace("-", "")
+    """One of the known names, whatever its case; the first for a blank."""
+    name = (written or "").strip().lower()
     if name and name not in known:
         raise ValueError(f"{written} is none of {', '.join(known)}")
     return name or known[0]
 
 
 def suppressed(written: str | None) -> frozenset[str]:
-    """The warning categories that --no-warn names."""
-    names = [w.strip().lower() for w in (written or "").split(",") if w.strip()]
+    """The warning categories that --no-warn names; None is no such option.
+
+    An empty value is a mistake, since to silence everything must not be a slip; so is an empty item. White space
+    alone means every category.
+    """
+    if written is None:
+        return frozenset()
+    if not written:
+        raise ValueError(f"--no-warn needs categories: {', '.join((*CATEGORIES, 'all'))}")
+    if not written.strip():
+        return frozenset(CATEGORIES)
+    names = [w.strip().lower() for w in written.split(",")]
     if bad := [n for n in names if n not in (*CATEGORIES, "all")]:
-        raise ValueError(f"no warning category {bad[0]}")
+        raise ValueError(f"no warning category {bad[0]!r}")
     return frozenset(CATEGORIES if "all" in names else names)
 
 
@@ -57,7 +67,11 @@ def judged(files: DataFrame, predicate: Predicate | None, catalog: AudioCatalog
     if predicate is None:
         ok = F.col("readable")
         return read.select("path", F.when(ok, "matched").otherwise("unreadable").alias("disposition"), F.lit(True).alias("truth"), F.array().cast("array<string>").alias("warnings"), F.lit(True).alias("opened"), (ok & F.col("incomplete")).alias("incomplete"), "error", "hash")
-    seen = predicate.evaluate(read)
+    return disposed(predicate.evaluate(read), bool(algorithm))
+
+
+def disposed(seen: DataFrame, hashed: bool = False) -> DataFrame:
+    """Evaluated files with their disposition; a file that had to be opened and can't be read has no truth and no defects."""
     lost = F.col("opened") & ~F.col("readable")
     return seen.select(
         "path",
@@ -67,7 +81,7 @@ def judged(files: DataFrame, predicate: Predicate | None, catalog: AudioCatalog
         "opened",
         (F.col("opened") & ~lost & F.col("incomplete")).alias("incomplete"),
         F.when(lost, F.col("error")).alias("error"),
-        *(["hash"] if algorithm else [F.lit(None).cast("string").alias("hash")]),
+        *(["hash"] if hashed else [F.lit(None).cast("string").alias("hash")]),
     )
 
 
@@ -106,13 +120,20 @@ def run(spark: SparkSession, specs: list[str], where: str | None = None, algorit
     return Run(files, shown.select("path", "hash"), warnings_of(files, silent), counts_of(files), found.warnings)
 
 
+def _some(n: int, of: int, one: str, many: str, said: str) -> str:
+    """How many of a run's files something is said of: the only one, one, all, or some."""
+    if n == of:
+        return f"{'the only' if of == 1 else 'all'} {f'{of} {many}' if of > 1 else one} {said}"
+    return f"{n} of {of} {many} {said}"
+
+
 def last_warnings(counts: Row, silent: Iterable[str] = ()) -> list[tuple[str, str]]:
     """What is said at the end of a run."""
     out = []
-    if counts["unanswered"]:
-        out.append(("unanswered", f"{counts['unanswered']} of {counts['examined']} files have no answer"))
-    if counts["incomplete"]:
-        out.append(("incomplete", f"{counts['incomplete']} of {counts['opened']} opened files were read in part"))
+    if n := counts["unanswered"]:
+        out.append(("unanswered", _some(n, counts["examined"], "examined file", "examined files", f"{'has' if n == 1 else 'have'} no answer and {'is' if n == 1 else 'are'} left out")))
+    if n := counts["incomplete"]:
+        out.append(("incomplete", _some(n, counts["opened"], "opened file", "opened files", f"{'was' if n == 1 else 'were'} read in part")))
     return [(c, m) for c, m in out if c not in silent]
 
 

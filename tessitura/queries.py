@@ -7,6 +7,7 @@ answer" are told apart. Audio comes from files that are built in memory.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 from collections.abc import Callable
@@ -15,14 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import interpret, text
+from .functions.convert import number_from_text, text_of
 from .operators.catalog import Catalog, frame_catalog
-from .operators.predicate import compiled, tally, warnings
-from .operators.run import counts_of, json_array, judged, objects, plain, warnings_of
+from .operators.predicate import compiled, exit_code, tally, warnings
+from .operators.run import ALGORITHMS, choice, counts_of, json_array, judged, objects, plain, suppressed, warnings_of
 from .plans.diagnostics import PredicateError, closest
 from .plans.syntax import parse, printed
 from .sources import samples as made
 from .sources.discover import base_name, discovered, distinct_paths, extension_column, only_candidates
-from .sources.reader import AudioCatalog, layouts
+from .sources.reader import AudioCatalog, faults, layouts
 from .sources.window import in_memory
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,8 +50,15 @@ r AS (SELECT o_orderkey AS k, o_orderstatus AS status, o_totalprice AS total, st
 }
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows over all cores, where they come from fewer files than there are cores; any larger input stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def _set(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, Catalog]:
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    key = {"lineitem": ["l_orderkey"], "orders": ["o_orderkey"], "events": ["user_id"]}
+    read = lambda t: dealt(spark.read.parquet(f"{sf_dir}/{t}.parquet"), *key.get(t, []))
     if name == "orders":
         bags = read("lineitem").groupBy("l_orderkey").agg(F.collect_list("l_returnflag").alias("flag"), F.collect_list("l_quantity").alias("qty"), F.collect_list("l_linenumber").alias("line"))
         df = read("orders").join(bags, F.col("o_orderkey") == F.col("l_orderkey"), "left")
@@ -190,7 +199,7 @@ def _(spark, sf_dir):
 
 @query("d5_genre_frames", _values(_TCON, "written, genres"))
 def _(spark, sf_dir):
-    return spark.createDataFrame([(a, "|".join(interpret.genres(a))) for a, _ in _TCON], "written string, genres string")
+    return spark.createDataFrame([(a,) for a, _ in _TCON], "written string").withColumn("genres", F.array_join(interpret.genres_column(F.col("written")), "|"))
 
 
 @query("d8_suggestions", _values([("yaer", "year"), ("titel", "title"), ("zzz", None)], "written, nearest"))
@@ -211,6 +220,7 @@ _ERRORS = [
     ("a == b == c", "chained-comparison", "=="), ("a = 1", "borrowed-operator", "="), ("a == 1.", "trailing-period", "1."), ("5x == a", "malformed-literal", "5x"),
     ("nosuch == 1", "unknown-identifier", "nosuch"), ("n != 1", "ambiguous-not-equal", "!="), ("n == \"x\"", "type-mismatch", "n == \"x\""), ("s =~ r\"(?=x)\"", "unsupported-pattern-construct", "r\"(?=x)\""),
     ("n BETWEEN 9..1", "range-reversed", "9..1"), ("COUNT(ALL(n)) == 1", "misplaced-modifier", "ALL(n)"), ("n IS NOT ABSENT", "is-not", "IS NOT"), ("s", "not-a-condition", "s"),
+    (r's =~ r"[a-\d]"', "invalid-pattern", None), (r's =~ r"\p{IsNoSuch}"', "invalid-pattern", None), ('s =~ r"a{3,1}"', "invalid-pattern", None), ('s =~ r"(?<!x)y"', "unsupported-pattern-construct", None), (r's =~ r"(a)\1"', "unsupported-pattern-construct", None), ('s =~ r"(?>a)"', "unsupported-pattern-construct", None),
 ]
 
 
@@ -219,16 +229,92 @@ def _(spark, sf_dir):
     return spark.createDataFrame([(p, printed(parse(p))) for p, _ in _TREES], "predicate string, tree string")
 
 
-@query("y10_diagnostics", _values(_ERRORS, "predicate, code, marked"))
-def _(spark, sf_dir):
-    df = spark.createDataFrame([], "n array<int>, s array<string>")
-    catalog, rows = frame_catalog(df, {"n": ("number", "0..n"), "s": ("string", "0..n")}), []
-    for p, _, _ in _ERRORS:
+def _diagnosed(spark: SparkSession, catalog: Catalog, predicates: list[str], marks: bool = True) -> DataFrame:
+    rows = []
+    for p in predicates:
         try:
             compiled(p, catalog)
+            rows.append((p, "none", None))
         except PredicateError as e:
             rows.append((p, e.diagnostics[0].code, e.diagnostics[0].marked(p)))
-    return spark.createDataFrame(rows, "predicate string, code string, marked string")
+    out = spark.createDataFrame(rows, "predicate string, code string, marked string")
+    return out if marks else out.drop("marked")
+
+
+def _of_numbers_and_strings(spark: SparkSession) -> Catalog:
+    df = spark.createDataFrame([], "n array<int>, s array<string>, d array<int>")
+    return frame_catalog(df, {"n": ("number", "0..n"), "s": ("string", "0..n"), "d": ("duration", "0..n")})
+
+
+@query("y10_diagnostics", _values([e for e in _ERRORS if e[2] is not None], "predicate, code, marked"))
+def _(spark, sf_dir):
+    return _diagnosed(spark, _of_numbers_and_strings(spark), [p for p, _, mark in _ERRORS if mark is not None])
+
+
+_CODES = [(p, code) for p, code, mark in _ERRORS if mark is None] + [
+    (r's =~ r"[\d-z]"', "none"), (r's =~ r"(?x)^[ ]$"', "none"), (r's =~ r"\bword\B"', "none"), ("n =~ r\"1\"", "match-subject-not-string"),
+    ("s =~ r\"[b-a]\"", "invalid-pattern"), ("s =~ r\"(?(a)b)\"", "unsupported-pattern-construct"), ("s =~ r\"a(\"", "invalid-pattern"),
+]
+
+
+@query("x2_patterns", _values(_CODES, "predicate, code"))
+def _(spark, sf_dir):
+    return _diagnosed(spark, _of_numbers_and_strings(spark), [p for p, _ in _CODES], marks=False)
+
+
+# Rejected conversions, arguments of functions, names that the language keeps for itself, numbers in place of units.
+_REJECTED = {
+    "a11_rejected": [("d AS BYTECOUNT == 1b", "units-do-not-convert"), ("n AS NUMBR == 1", "unknown-target"), ("NUMBER(s) == 1", "conversion-called"), ('"x" AS NUMBER == 1', "constant-does-not-convert"), ("(n == 1) AS STRING == \"x\"", "boolean-not-convertible"), ("s AS NUMBER == 1", "none")],
+    "y7_reserved": [("usable == 1", "reserved-word"), ("and::x == 1", "reserved-word-in-identifier"), ("x::and == 1", "reserved-word-in-identifier"), ("n == NULL", "null-value"), ("n == 1 AND s == \"x\"", "none")],
+    "y8_stand_ins": [("d > -1", "negative-unit-literal"), ("d > 1.5", "fractional-duration-literal"), ("d > 90", "none"), ("d BETWEEN 60..120s", "range-unit-missing"), ("d == 1:30", "none"), ("n == 1m", "type-mismatch")],
+    "v6_arguments": [("COUNT(n, n) == 1", "wrong-argument-count"), ("FALLBACK(n, n) == 1", "fallback-default-not-constant"), ("COUNT(n) == 1", "none"), ("PREFERRED(n) == 1", "wrong-argument-count"), ("FOO(n) == 1", "unknown-function")],
+}
+
+
+def _rejections(name: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _diagnosed(spark, _of_numbers_and_strings(spark), [p for p, _ in _REJECTED[name]], marks=False)
+
+    _found[name] = (run, _values(_REJECTED[name], "predicate, code"))
+
+
+for _name in _REJECTED:
+    _rejections(_name)
+
+# Arguments of the functions that read fields, and names of sources, by the catalog of audio files.
+_FIELDS = [('id3v2::field("TYER") == "x"', "argument-rejected"), ('id3v2::field("APIC") == "x"', "argument-rejected"), ('id3v2::field("TPE1", "d") == "x"', "argument-rejected"), ('id3v2::field("TXXX", "d") == "x"', "none"), ('ape::field("a", "b") == "x"', "wrong-argument-count"), ("vorbis::field(artist) == \"x\"", "argument-not-literal"), ("nosuch::artist == \"x\"", "unknown-source"), ("atrist == \"x\"", "unknown-identifier"), ('duration > 1', "needs-source")]
+
+
+@query("i13_lookups", _values(_FIELDS, "predicate, code"))
+def _(spark, sf_dir):
+    return _diagnosed(spark, AudioCatalog(), [p for p, _ in _FIELDS], marks=False)
+
+
+_CANONICAL = [("0001.500", "1.5"), ("-0", "0"), ("+7", "7"), (".25", "0.25"), ("1234567890123456789.000000001", "1234567890123456789.000000001"), ("1e5", None), ("", None)]
+
+
+@query("d7_canonical_numbers", _values(_CANONICAL, "written, printed"))
+def _(spark, sf_dir):
+    df = spark.createDataFrame([(w,) for w, _ in _CANONICAL], "written string")
+    return df.withColumn("printed", text_of(number_from_text(F.col("written")), True))
+
+
+@query("n1_repair", _values([("a\ufffdb", "a\ufffdb"), ("\u00e9", "e")], "literal, normalized"))
+def _(spark, sf_dir):
+    """Bytes that are no text."""
+    df = spark.createDataFrame([(bytearray(b"a\xffb"),), (bytearray("\u00e9".encode()),)], "raw binary").select(F.col("raw").cast("string").alias("t"))
+    return df.select(text.prepare(F.col("t"), True, False).alias("literal"), text.prepare(F.col("t"), False, False).alias("normalized"))
+
+
+_WORDS = [("a", True), ("\u00e9", True), ("7", True), ("_", True), ("\u203f", True), ("\u2168", False), ("\u093e", False), ("\u0301", True), ("-", False), (" ", False)]
+
+
+@query("x1_word_characters", _values([(w, t, w == " ") for w, t in _WORDS], "written, word, space"))
+def _(spark, sf_dir):
+    df = spark.createDataFrame([(w,) for w, _ in _WORDS], "written string")
+    names = frame_catalog(df, {"written": ("string", "1..1")})
+    truth = lambda p: compiled(p, names).truth
+    return df.select("written", truth(r'LITERALLY(written) =~ r"^\w$"').alias("word"), truth(r'LITERALLY(written) =~ r"(?x)^[ ]$"').alias("space"))
 
 
 # Warnings, tallies, filters
@@ -292,17 +378,21 @@ def _(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", name.alias("name"), extension_column(name).alias("extension"))
 
 
-@query("s6_distinct_union", "SELECT DISTINCT url AS path FROM pages")
+@query("s6_distinct_union", "SELECT url AS path FROM pages UNION SELECT url || '/../' || CAST(page_id AS VARCHAR) FROM pages UNION SELECT url FROM pages")
 def _(spark, sf_dir):
-    paths = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("path"))
-    return distinct_paths(paths, paths.filter(F.length("path") % 2 == 0))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    paths = pages.select(F.col("url").alias("path"))
+    return distinct_paths(paths, pages.select(F.concat("url", F.lit("/../"), F.col("page_id").cast("string")).alias("path")), paths)
 
 
-@query("k2_lines", "SELECT page_id, concat(url, ' md5 ', md5(html)) AS line FROM pages")
+@query("k1_plain", "SELECT url AS line FROM pages")
 def _(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("url").alias("path"), F.md5("html").alias("hash"))
-    lines = plain(pages.select("path", "hash"), "md5")
-    return pages.select("page_id", F.concat_ws(" ", "path", F.lit("md5"), "hash").alias("line")).join(lines, "line", "left_semi").select("page_id", "line")
+    return plain(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("path"), F.lit(None).cast("string").alias("hash")))
+
+
+@query("k2_lines", "SELECT concat(url, ' md5 ', coalesce(md5(html), '-')) AS line FROM pages")
+def _(spark, sf_dir):
+    return plain(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("path"), F.md5("html").alias("hash")), "md5")
 
 
 @query("k3_json", "SELECT '{\"file\":\"' || url || '\"}' AS line FROM pages")
@@ -310,14 +400,48 @@ def _(spark, sf_dir):
     return objects(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("path"), F.lit(None).cast("string").alias("hash")))
 
 
-@query("m2_hashes", "SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1 FROM documents")
+# An audio file for each document: a tag, as many frames as the document's length says (the stream is the same
+# frame again and again), and a closing tag with the document's number in it. The hash is that of the frames alone.
+
+_TAG, _FRAME = made.id3v2(made.text_frame("TIT2", "of a document")), made.mp3_frames(1)
+_FRAMES = "20 + n_chars % 13"
+
+
+def _files_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    stream = F.unhex(F.repeat(F.lit(_FRAME.hex()), F.expr(f"int({_FRAMES})")))
+    closing = F.concat(F.lit("TAG"), F.rpad(F.col("doc_id").cast("string"), 30, " "), F.lit(" " * 95)).cast("binary")
+    content = F.concat(F.unhex(F.lit(_TAG.hex())), stream, closing)
+    return docs.select(F.concat(F.lit("/m/"), F.col("doc_id").cast("string"), F.lit(".mp3")).alias("path"), content.alias("content"))
+
+
+_FILE = "'/m/' || CAST(doc_id AS VARCHAR) || '.mp3'"
+
+
+@query("m2_hashes", f"SELECT {_FILE} AS path, md5(unhex(repeat('{_FRAME.hex()}', CAST({_FRAMES} AS BIGINT)))) AS hash, true AS matched FROM documents")
 def _(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.md5("text").alias("md5"), F.sha1("text").alias("sha1"))
+    files = judged(_files_of_documents(spark, sf_dir), None, None, "md5")
+    return files.select("path", "hash", (F.col("disposition") == "matched").alias("matched"))
+
+
+@query("i1_paths", f"SELECT {_FILE} AS path, regexp_matches({_FILE}, '^/m/[0-9]*7[0-9]*[.]mp3$') AND {len(_TAG)} + {len(_FRAME)} * ({_FRAMES}) + 128 > 12000 AS truth FROM documents")
+def _(spark, sf_dir):
+    catalog = AudioCatalog()
+    where = compiled('file::path =~ r"^/m/[0-9]*7[0-9]*[.]mp3$" AND file::size > 12kb', catalog)
+    return judged(_files_of_documents(spark, sf_dir), where, catalog).select("path", "truth")
+
+
+@query("m5_filtered_hashes", f"SELECT {_FILE} AS path, md5(unhex(repeat('{_FRAME.hex()}', CAST({_FRAMES} AS BIGINT)))) AS hash, CAST(doc_id AS VARCHAR) LIKE '%3%' AS matched FROM documents")
+def _(spark, sf_dir):
+    """Stages together: the reader, a predicate over a closing tag, and the hash."""
+    catalog = AudioCatalog()
+    files = judged(_files_of_documents(spark, sf_dir), compiled('id3v1::title =~ r"3"', catalog), catalog, "md5")
+    return files.select("path", "hash", (F.col("disposition") == "matched").alias("matched"))
 
 
 def _folder() -> str:
     top = tempfile.mkdtemp(prefix="tessitura-")
-    for name in ("a.mp3", "b.FLAC", "c.txt", ".mp3", "sub/d.mp3", "sub/deep/e.flac", "other/f.mp3"):
+    for name in ("a.mp3", "b.FLAC", "c.txt", ".mp3", "sub/d.mp3", "sub/deep/e.flac", "other/f.mp3", "w/p*q.mp3", "w/pxq.mp3"):
         path = os.path.join(top, name)
         os.makedirs(os.path.dirname(path), exist_ok=True)
         with open(path, "wb") as f:
@@ -327,7 +451,7 @@ def _folder() -> str:
     return top
 
 
-_WALKS = [("a.mp3", "a.mp3"), (".", "a.mp3 b.FLAC linked/f.mp3 other/f.mp3 sub/d.mp3 sub/deep/e.flac"), ("o*", "other/f.mp3"), ("?.mp3", "a.mp3"), ("nothing*", ""), ("c.txt", "")]
+_WALKS = [("a.mp3", "a.mp3"), (".", "a.mp3 b.FLAC linked/f.mp3 other/f.mp3 sub/d.mp3 sub/deep/e.flac w/p*q.mp3 w/pxq.mp3"), ("o*", "other/f.mp3"), ("?.mp3", "a.mp3"), ("nothing*", ""), ("c.txt", ""), ("w/p*q.mp3", "w/p*q.mp3 w/pxq.mp3"), ("nowhere/*.mp3", "")]
 
 
 @query("s1_to_s5_discovery", _values(_WALKS, "spec, files"))
@@ -337,12 +461,12 @@ def _(spark, sf_dir):
     return spark.createDataFrame(rows, "spec string, files string")
 
 
-@query("s7_rejected", _values([("*a*", 1), ("missing", 1), ("*/a.mp3", 1), ("a.mp3", 0)], "spec, problems"))
+@query("s7_rejected", _values([("*a*", 1), ("missing", 1), ("*/a.mp3", 1), ("a.mp3", 0), ("nowhere/?", 0)], "spec, problems"))
 def _(spark, sf_dir):
     from .sources.discover import PathError, resolve
 
     top, rows = _folder(), []
-    for s in ("*a*", "missing", "*/a.mp3", "a.mp3"):
+    for s in ("*a*", "missing", "*/a.mp3", "a.mp3", "nowhere/?"):
         try:
             resolve([os.path.join(top, s)])
             rows.append((s, 0))
@@ -387,13 +511,14 @@ _LISTS = [
 
 @query("m1_list", _values(_LISTS, "filter, files"))
 def _(spark, sf_dir):
-    out = None
-    for where, _ in _LISTS:
-        catalog = AudioCatalog()
-        files = judged(_audio(spark), compiled(where, catalog), catalog)
-        row = files.filter("disposition = 'matched'").agg(F.array_join(F.sort_array(F.collect_list(_name_of())), " ").alias("files")).select(F.lit(where).alias("filter"), "files")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """All filters over one reading of the files."""
+    catalog = AudioCatalog()
+    filters = [(where, compiled(where, catalog)) for where, _ in _LISTS]
+    read = layouts(_audio(spark), catalog.requests)
+    lost = lambda p: p.opened & ~F.col("readable")
+    answers = F.array(*(F.struct(F.lit(where).alias("filter"), (p.truth & ~lost(p)).alias("listed")) for where, p in filters))
+    listed = read.select(_name_of().alias("name"), F.explode(answers).alias("x")).filter("x.listed").groupBy("x.filter")
+    return listed.agg(F.array_join(F.sort_array(F.collect_list("name")), " ").alias("files"))
 
 
 @query("f_layouts", _values([("ape.mp3", 10, False, None), ("broken.mp3", 1, True, None), ("full.mp3", 13, False, None), ("noise.mp3", None, False, "no MPEG audio found"), ("plain.mp3", 13, False, None), ("untrue.flac", None, True, None), ("voice.flac", 5, False, None)], "name, seconds, incomplete, error"))
@@ -401,15 +526,72 @@ def _(spark, sf_dir):
     return layouts(_audio(spark)).select(_name_of().alias("name"), F.col("duration").cast("int").alias("seconds"), "incomplete", "error")
 
 
-_PLAIN = __import__("hashlib").md5(made.mp3_frames(500)).hexdigest()
+_MD5 = lambda *pieces: hashlib.md5(b"".join(pieces)).hexdigest()
+_PLAIN = _MD5(made.mp3_frames(500))
+_VOICE = _MD5(*(made.flac_frame(i, 4096, i) for i in range(60)))
+_UNTRUE = _MD5(*(made.flac_frame(i, 4096, i) for i in range(5)))
 
 
-@query("m3_m4_audio_hashes", _values([("full.mp3", _PLAIN, True), ("plain.mp3", _PLAIN, True), ("noise.mp3", None, False)], "name, hash, matched"))
+@query("m3_m4_audio_hashes", _values([("full.mp3", _PLAIN, True), ("plain.mp3", _PLAIN, True), ("noise.mp3", None, False), ("voice.flac", _VOICE, True), ("untrue.flac", _UNTRUE, True)], "name, hash, matched"))
 def _(spark, sf_dir):
-    files = judged(_audio(spark), None, None, "md5").filter(_name_of().isin("full.mp3", "plain.mp3", "noise.mp3"))
+    files = judged(_audio(spark), None, None, "md5").filter(_name_of().isin("full.mp3", "plain.mp3", "noise.mp3", "voice.flac", "untrue.flac"))
     return files.select(_name_of().alias("name"), "hash", (F.col("disposition") == "matched").alias("matched"))
 
 
+def _damaged() -> dict[str, bytes]:
+    """FLAC files of five frames: sound, one frame's body changed, one frame missing, the last frame cut."""
+    frames = [made.flac_frame(i, 4096, i) for i in range(5)]
+    head = made.flac(5)[: -sum(map(len, frames))]
+    changed = bytearray(frames[2])
+    changed[-3] ^= 1
+    return {
+        "/f/sound.flac": head + b"".join(frames),
+        "/f/changed.flac": head + b"".join([*frames[:2], bytes(changed), *frames[3:]]),
+        "/f/missing.flac": head + b"".join([*frames[:2], *frames[3:]]),
+        "/f/cut.flac": head + b"".join(frames)[:-3],
+        "/f/other.mp3": made.mp3_frames(50),
+    }
+
+
+@query("m4_faults", _values([("changed.flac", "crc16-fails", 2), ("cut.flac", "cut-off", 4), ("missing.flac", "numbers-skipped", 2)], "name, kind, number"))
+def _(spark, sf_dir):
+    files = spark.createDataFrame([(k, bytearray(v)) for k, v in _damaged().items()], "path string, content binary")
+    return faults(files).select(_name_of().alias("name"), "kind", F.col("number").cast("int").alias("number"))
+
+
+# Options and exit codes
+
+_NO_WARN = [(None, ""), ("data", "data"), (" File ,data", "data file"), ("all", "data file incomplete unanswered"), ("  ", "data file incomplete unanswered"), ("", "refused"), ("data,,file", "refused"), ("data,", "refused"), ("x", "refused")]
+_CHOICES = [("md5", "md5"), (" SHA1", "sha1"), ("", "md5"), ("SHA-1", "refused"), ("pl-ain", "refused")]
+
+
+def _or_refused(f: Callable[[], str]) -> str:
+    try:
+        return f()
+    except ValueError:
+        return "refused"
+
+
+@query("w6_options", _values([(w or "-" if w is None else w, x) for w, x in _NO_WARN], "written, silent"))
+def _(spark, sf_dir):
+    rows = [("-" if w is None else w, _or_refused(lambda w=w: " ".join(sorted(suppressed(w))))) for w, _ in _NO_WARN]
+    return spark.createDataFrame(rows, "written string, silent string")
+
+
+@query("k4_choices", _values(_CHOICES, "written, chosen"))
+def _(spark, sf_dir):
+    return spark.createDataFrame([(w, _or_refused(lambda w=w: choice(w, ALGORITHMS))) for w, _ in _CHOICES], "written string, chosen string")
+
+
+_EXITS = [("", 5, 5, 5, 0), ("data", 5, 5, 5, 10), ("unanswered data", 5, 5, 5, 11), ("incomplete unanswered", 5, 5, 0, 12), ("data file incomplete", 5, 5, 5, 13), ("", 0, 0, 0, 21), ("", 5, 5, 0, 20), ("data", 5, 5, 0, 10), ("", 5, 0, 0, 0)]
+
+
+@query("w7_exit_codes", _values(_EXITS, "warned, found, examined, matched, code"))
+def _(spark, sf_dir):
+    rows = [(w, f, e, m, exit_code({"found": f, "examined": e, "matched": m}, w.split())) for w, f, e, m, _ in _EXITS]
+    return spark.createDataFrame(rows, "warned string, found int, examined int, matched int, code int")
+
+
 @query("w7_w8_run", _values([(7, 6, 0, 1, 7, 2, 1, 1)], "found, examined, matched, unanswered, opened, incomplete, unreadable, defective"))
 def _(spark, sf_dir):
     catalog = AudioCatalog()

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from decimal import Decimal
 from typing import Any
 
+from pyarrow import fs
+
 from ..functions import interpret
 from ..functions.text import trimmed
 from . import flac, mpeg
@@ -50,7 +53,7 @@ def analysed(r: Bounded, format: str) -> Layout:
     tags: list[Tag] = []
     conditions: list[Condition] = []
     edge = edges(r, tags, conditions)
-    out = Layout(format, tags, None, "", mpeg.Playing(problem="no-audio"), conditions)
+    out = Layout(format, tags, None, "", mpeg.Playing(problem="no-frames"), conditions)
     found = _mpeg(r, edge, out) if format == "mp3" else _flac(r, edge, out)
     if isinstance(found, bool):
         out.why = "search-gave-up" if found else "no-frame"
@@ -201,7 +204,12 @@ def digest(layout: Layout, pull: Callable[[int, int], bytes], algorithm: str = "
 
 
 def opened(path: str, policy: Policy = Policy()) -> tuple[Bounded, Callable[[int, int], bytes], Callable[[], None]]:
-    handle = open(path, "rb")  # noqa: SIM115
+    """A file of this machine, or of any store that Arrow knows by the address's scheme, read by ranges alone."""
+    if "://" in path and not path.startswith("file:"):
+        store, inside = fs.FileSystem.from_uri(path)
+        remote = store.open_input_file(inside)
+        return Bounded(remote.size(), lambda at, n: remote.read_at(n, at), policy), lambda at, n: remote.read_at(n, at), remote.close
+    handle = open(re.sub("^file:/+", "/", path), "rb")  # noqa: SIM115
     length = handle.seek(0, 2)
 
     def pull(at: int, n: int) -> bytes:
@@ -209,4 +217,3 @@ def opened(path: str, policy: Policy = Policy()) -> tuple[Bounded, Callable[[int
         return handle.read(n)
 
     return Bounded(length, pull, policy), pull, handle.close
-

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from .audio import FORMATS
 
-MAX_LINKS = 40
-
 
 class PathError(ValueError):
     """Specifications that can't be resolved; nothing is processed."""
@@ -45,50 +43,66 @@ class Discovery:
 
 @dataclass(frozen=True)
 class _Pattern:
-    folder: str
+    folder: str | None  # None: there is no such folder, and nothing matches
     test: re.Pattern
 
 
+def _listable(folder: str) -> bool:
+    try:
+        with os.scandir(folder) as entries:
+            next(entries, None)
+        return True
+    except OSError:
+        return False
+
+
+def _pattern(spec: str) -> _Pattern | str:
+    """What a specification with wildcards means, or what is wrong with it."""
+    folder, name = os.path.split(spec)
+    if spec.count("*") > 1:
+        return "at most one *"
+    if "*" in folder or "?" in folder:
+        return "wildcards stand in the last component alone"
+    shape = re.compile("".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in name), re.S | (re.I if os.name == "nt" else 0))
+    folder = os.path.abspath(folder or ".")
+    if not os.path.isdir(folder):
+        return _Pattern(None, shape)
+    return _Pattern(folder, shape) if _listable(folder) else "its folder can't be listed"
+
+
 def resolve(specs: list[str]) -> list[str | _Pattern]:
-    """Absolute paths and patterns, or PathError with every problem."""
+    """Absolute paths and patterns, or PathError with every problem. What holds a wildcard is a pattern, whatever exists."""
     out: list[str | _Pattern] = []
     problems = []
     for spec in specs:
-        path = os.path.abspath(spec)
-        if os.path.lexists(path):  # a name may hold what would be a wildcard
-            if not os.path.exists(path):
-                problems.append(f"{spec}: a link that leads nowhere")
-            elif not os.access(path, os.R_OK):
-                problems.append(f"{spec}: not accessible")
+        if "*" in spec or "?" in spec:
+            found = _pattern(spec)
+            if isinstance(found, str):
+                problems.append(f"{spec}: {found}")
             else:
-                out.append(path)
-            continue
-        folder, name = os.path.split(path)
-        if any(c in folder for c in "*?"):
-            problems.append(f"{spec}: wildcards stand in the last component alone")
-        elif "*" not in name and "?" not in name:
+                out.append(found)
+        elif not os.path.exists(spec):
             problems.append(f"{spec}: not found")
-        elif name.count("*") > 1:
-            problems.append(f"{spec}: at most one *")
-        elif not os.path.isdir(folder):
-            problems.append(f"{spec}: its folder isn't found")
+        elif os.path.isdir(spec) and not _listable(spec):
+            problems.append(f"{spec}: can't be listed")
         else:
-            shape = "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in name)
-            out.append(_Pattern(folder, re.compile(shape, re.S | (re.I if os.name == "nt" else 0))))
+            out.append(os.path.abspath(spec))
     if problems:
         raise PathError(problems)
     return out
 
 
-def _real(path: str) -> str | None:
+def _real(path: str) -> str:
+    """The path with its links resolved; as it is where they can't be, so that listing it fails and says so."""
     try:
         return os.path.realpath(path, strict=True)
     except (OSError, RuntimeError):
-        return None
+        return os.path.abspath(path)
 
 
 def _walk(root: str, found: Discovery) -> Iterator[str]:
-    """Breadth first. A linked folder is left out where its target is one of the folders on the way to it."""
+    """Breadth first, to any depth. A linked folder is left out where its target is one of the folders on the way to it;
+    a path of more links than the system follows (40 on Linux) can't be listed, which is a warning like any other."""
     level = [(root, (_real(root),))]
     while level:
         deeper = []
@@ -106,8 +120,8 @@ def _walk(root: str, found: Discovery) -> Iterator[str]:
                 if not is_folder:
                     yield e.path
                     continue
-                real = _real(e.path) if e.is_symlink() else os.path.join(above[-1] or folder, e.name)
-                if real is not None and (not e.is_symlink() or real not in above and len(above) <= MAX_LINKS + 1000):
+                real = _real(e.path) if e.is_symlink() else os.path.join(above[-1], e.name)
+                if not e.is_symlink() or real not in above:
                     deeper.append((e.path, (*above, real)))
         level = deeper
 
@@ -117,6 +131,8 @@ def discovered(specs: list[str]) -> Discovery:
     out = Discovery()
     seen: dict[str, None] = {}
     for item in resolve(specs):
+        if isinstance(item, _Pattern) and item.folder is None:
+            continue
         if isinstance(item, _Pattern):
             tops = [os.path.join(item.folder, n) for n in sorted(os.listdir(item.folder)) if item.test.fullmatch(n)]
         else:
@@ -157,6 +173,6 @@ def files_frame(spark: SparkSession, files: list[str], per_task: int = 200) -> D
 
 
 def store_frame(spark: SparkSession, root: str) -> DataFrame:
-    """path, length and content of the candidate files below a folder of any store; content isn't read unless used."""
+    """path and length of the candidate files below a folder of any store, which Spark lists in parallel; nothing is read."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return only_candidates(df).select("path", "length", "content")
+    return only_candidates(df.select("path", "length"))

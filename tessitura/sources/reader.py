@@ -131,9 +131,8 @@ def _row(path: str, whole: bytes | None, requests: list[Request], algorithm: str
     close = None
     try:
         if whole is None:
-            local = path.removeprefix("file:")
-            out["size"] = os.stat(local).st_size
-            r, pull, close = audio.opened(local, policy)
+            r, pull, close = audio.opened(path, policy)
+            out["size"] = r.length
         else:
             r = in_memory(whole, policy)
             out["size"], pull = len(whole), r.pull
@@ -186,3 +185,41 @@ def layouts(files: DataFrame, requests: Requests | None = None, algorithm: str |
     from_content = "content" in files.columns
     source = files.select("path", *["content"] * from_content)
     return source.mapInArrow(_reader(wanted, algorithm, policy, from_content), _schema(wanted, bool(algorithm)))
+
+
+_FAULTS = pa.schema([("path", pa.string()), ("kind", pa.string()), ("at", pa.int64()), ("number", pa.int64())])
+
+
+def _faults_of(path: str, whole: bytes | None, policy: Policy) -> list[tuple]:
+    close = None
+    try:
+        if whole is None:
+            r, pull, close = audio.opened(path, policy)
+        else:
+            r = in_memory(whole, policy)
+            pull = r.pull
+        layout, found = audio.analysed(r, "flac"), []
+        if layout.audio:
+            audio.audio_bytes(layout, pull, found)
+        return [(path, f.kind, f.at, f.number) for f in found]
+    except OSError as e:
+        return [(path, f"can't be read: {e.strerror or e}", None, None)]
+    finally:
+        if close:
+            close()
+
+
+def faults(files: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """path, kind, at, number: a row for each fault in the frames of the FLAC files of a frame of paths (or of paths and
+    contents), in order of place; a file that can't be read is one row, a sound one none, and other formats are left out."""
+    from_content = "content" in files.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            contents = b["content"].to_pylist() if from_content else [None] * b.num_rows
+            rows = [x for p, c in zip(b["path"].to_pylist(), contents) for x in _faults_of(p, c, policy)]
+            cols = list(zip(*rows)) or [[]] * 4
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, _FAULTS)], schema=_FAULTS)
+
+    flac = F.lower(extension_column(base_name(F.col("path")))) == "flac"
+    return files.filter(flac).select("path", *["content"] * from_content).mapInArrow(run, "path string, kind string, at bigint, number bigint")
