@@ -197,7 +197,9 @@ def fuse(rows: DataFrame, model: Model) -> DataFrame:
         other = (1 - trust) / max(1, len(langs) - 1)
         return F.when(declared == k + 1, F.log(F.lit(trust))).when(declared > 0, F.log(F.lit(max(other, 1e-9)))).otherwise(0.0)
 
-    joined = rows.join(priors, "host", "left")
+    # Rows without a host find nothing; they are spread over keys that no host has, so that they don't share a task.
+    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("rid", *(c for c in ("doc_id", "page_id", "id") if c in rows.columns)), F.lit(4096)).cast("string")) if "rid" in rows.columns else F.col("host")
+    joined = rows.withColumn("at", F.coalesce("host", spread)).join(priors.withColumnRenamed("host", "at"), "at", "left").drop("at")
     joined = joined.withColumn("score", F.array(*(F.col("evidence")[k] + markup(k) + F.log(prior(k)) for k in ks)))
     joined = joined.withColumn("best", (F.array_position("score", F.array_max("score")) - 1).cast("int"))
     joined = joined.withColumn("probability", 1 / F.aggregate("score", F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max("score"))))

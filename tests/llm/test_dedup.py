@@ -126,6 +126,67 @@ def test_substrings_of_odd_rows(odd):
     assert got[7][0]["kept_sha256"] == sha("more")
 
 
+def half_without_ids(rng, make):
+    """A third of the rows have no id, and some of these repeat."""
+    rows = [(None if i % 3 == 0 else i, make(rng), "s") for i in range(120)]
+    return rows + rows[:9:3] * 3
+
+
+def test_substrings_without_ids(docs_of):
+    """Rows without an id are one document, the first, wherever they are dealt to."""
+    rng = random.Random(12)
+    passages = [prose(rng, n) for n in (13, 20, 40)]
+    rows = half_without_ids(rng, lambda r: " ".join(r.choice(passages) if r.random() < 0.5 else prose(r, 12) for _ in range(r.randrange(1, 4))))
+    first, low = {}, -1
+    for i, t, _ in rows:
+        ws, i = t.split(), low if i is None else i
+        for p in range(len(ws) - 12):
+            first[tuple(ws[p : p + 13])] = min(first.get(tuple(ws[p : p + 13]), i), i)
+    want = []
+    for i, t, _ in rows:
+        ws, gone = t.split(), set()
+        for p in range(len(ws) - 12):
+            if first[tuple(ws[p : p + 13])] < (low if i is None else i):
+                gone.update(range(p, p + 13))
+        want.append((i or 0, len(ws), len(gone), " ".join(w for k, w in enumerate(ws) if k not in gone)))
+    out = substring_dedup.without_repeats(docs_of(rows), group_bytes=2000).collect()
+    assert sorted((max(r["id"], 0), r["n_words"], r["n_removed"], r["text"]) for r in out) == sorted(want)
+
+
+@pytest.mark.parametrize("per_task", [500_000, 15])
+def test_lines_without_ids(docs_of, per_task):
+    rng = random.Random(13)
+    lines = [f"line number {i} that is long enough to count" for i in range(25)]
+    rows = half_without_ids(rng, lambda r: "\n".join(r.choice(lines) for _ in range(r.randrange(0, 6))))
+    holders = {}
+    for i, t, _ in rows:
+        for x in t.split("\n"):
+            holders.setdefault(x, set()).add(-1 if i is None else i)
+    gone = lambda x, i: len(x) >= 20 and len(holders[x]) >= 3 and max(holders[x]) != i
+    want = [(i or 0, len(xs), [x for x in xs if not gone(x, -1 if i is None else i)]) for i, t, _ in rows for xs in [t.split("\n")]]
+    docs = docs_of(rows)
+    out = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs, keys_per_task=per_task)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_lines"], r["n_dropped"], r["text"]) for r in out) == sorted((i, n, n - len(k), "\n".join(k)) for i, n, k in want)
+
+
+def test_the_index_grows_by_generations(spark, docs_of, tmp_path):
+    """Buckets follow the digests, many small files are written anew, and a generation without its marker doesn't count."""
+    path = str(tmp_path / "index")
+    index = exact_dedup.DigestIndex(spark, path, 2, per_bucket=10)
+    seen = {}
+    for batch in range(6):
+        rows = [(100 * batch + i, f"text {(7 * batch + i) % 60}", "s") for i in range(25)]
+        for r in index.add(docs_of(rows)).collect():
+            text = f"text {(7 * (r['id'] // 100) + r['id'] % 100) % 60}"
+            assert r["keep_id"] == seen.setdefault(text, r["keep_id"]) and r["kept"] == (r["keep_id"] == r["id"])
+    assert index.generation > 0 and index.buckets > 2 and index.read().count() == len(seen) == index.read().select("digest").distinct().count()
+    held = index.buckets
+    index.close()
+    (tmp_path / "index" / "99-1").mkdir()
+    again = exact_dedup.DigestIndex(spark, path)
+    assert again.buckets == held and again.read().count() == len(seen)
+
+
 def test_every_difference_is_covered():
     assert substring_dedup.covers((0, 1, 3), 7) and not substring_dedup.covers((0, 1, 2), 7)
 
