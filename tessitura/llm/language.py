@@ -11,11 +11,11 @@ a bounded sample of each: TRAIN_ROWS rows in all, dealt out evenly (what a small
 LEAST_ROWS of a language if it has them, in order of a hash of id and text, equal rows once, TRAIN_CHARS characters of
 each. Scores, counts and decisions cover all rows and whole texts.
 
-A row is rejected if it has no letters, if no language reaches MIN_PROBABILITY, or if a text of JUDGED_TRIGRAMS or
-more lies below the floor of the language it would get, in its mean log probability by trigram: FLOOR_SHARE of the way
+A row is rejected if it has no letters, if no language reaches MIN_PROBABILITY, or if its text lies below the floor of
+the language it would get, in its mean log probability by trigram: FLOOR_SHARE of the way
 (FLOOR_GAP at least) from what the language's sample shows, each half scored by a model of the other, down to what the
 sample's letters show in random order, and lower by the standard error of a mean of so few trigrams. Probabilities among the model's languages alone can't tell that a text is in none
-of them. Short texts pass; texts that are far from all that was labelled go, even if a reader would know their language.
+of them. The rule is one for all sizes; texts that are far from all that was labelled go, even if a reader would know their language.
 
 Defined cases: a null or empty text has no letters and is rejected, with a null language; a null host has the
 prior of all rows; a declared language that the model doesn't know is no evidence; without any labelled row nothing
@@ -38,7 +38,7 @@ from .common import documents, durable, small_batches, text_or_empty
 
 TRAIN_ROWS, LEAST_ROWS, TRAIN_CHARS, MIN_LABELS = 4_000, 100, 3_000, 5
 TEXT_WEIGHT, PULL, MIN_PROBABILITY = 200, 5.0, 0.5
-FLOOR_SHARE, FLOOR_GAP, JUDGED_TRIGRAMS = 0.6, 1.5, 40
+FLOOR_SHARE, FLOOR_GAP = 0.6, 1.5
 HASH_BITS = 17
 
 # Letters in lower case, every other ASCII character as a space; bytes of other scripts stay.
@@ -70,7 +70,7 @@ class Model:
 
     def plausible(self, s: np.ndarray, size: int) -> np.ndarray:
         """By language, whether a text with these log likelihoods may be in it."""
-        return (size < JUDGED_TRIGRAMS) | (s >= self.floor * size - self.spread * size**0.5)
+        return s >= self.floor * size - self.spread * size**0.5
 
 
 def _counts(texts: list[bytes]) -> np.ndarray:
