@@ -40,6 +40,9 @@ _IDS = "a long, b long, ids binary"
 # The normal form that simple texts take in Python: they are in form C already, and lower their letters one by one.
 _KNOWN_STEPS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 _BLANKS = "\t\n\v\f\r\x85\xa0"
+# Maps bytes to characters, printable ASCII to itself.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_NONE = np.empty(0, np.int32)
 
 
 def default_tokenizer() -> str:
@@ -117,27 +120,24 @@ class Codec:
         self.kind = np.dtype(np.uint16 if size <= 1 << 16 else np.int32)  # of ids that travel
         self.soft, self.hard = soft, hard
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.bare = self._bare()
+        self.latin, self.ascii = self._lighter()
         self.asked = self.encoded = self.repaired = 0  # bytes of texts, bytes of chunks encoded, joins inside words
 
-    def _bare(self):
-        """The tokenizer without its normal forms, if these are the known ones: for simple texts Python does the same faster."""
+    def _lighter(self) -> list:
+        """For Latin-1 and for printable ASCII: the tokenizer without the steps that Python does for such texts, or that
+        change nothing in them; None each where the steps aren't the known ones."""
         config = json.loads(self.tokenizer.to_str())
-        steps = config["normalizer"] or {}
+        steps, before = config["normalizer"] or {}, config["pre_tokenizer"] or {}
         if steps.get("normalizers", steps) != _KNOWN_STEPS:
-            return None
-        return self.tokenizer.from_str(json.dumps({**config, "normalizer": None}))
+            return [None, None]
+        latin = {**config, "normalizer": None}
+        first, *last = before.get("pretokenizers", [None])
+        ascii_ = {**latin, "pre_tokenizer": first} if last == [_BYTE_LEVEL] else latin
+        return [self.tokenizer.from_str(json.dumps(c)) for c in (latin, ascii_)]
 
     def _simple(self, texts: list[str]) -> list[str] | None:
-        """Texts in normal form by the known steps, if Unicode's tables have no part in any of them; None otherwise."""
-        if self.bare is None:
-            return None
+        """Latin-1 texts in normal form by the known steps; None if any has what only the tokenizer should judge."""
         joined = "\0".join(texts)
-        if not joined.isascii():
-            try:
-                joined.encode("latin-1")
-            except UnicodeEncodeError:
-                return None
         for blank in _BLANKS:
             joined = joined.replace(blank, " ")
         while "  " in joined:
@@ -147,11 +147,28 @@ class Codec:
         return out if len(out) == len(texts) and not any(t in joined for t in self.added) else None
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
-        simple = self._simple(texts)
-        if simple is None and self.bare and len(texts) > 32:  # one odd text among many mustn't slow all of them
-            return [x for at in range(0, len(texts), 32) for x in self.plain(texts[at : at + 32])]
-        tokenizer = self.tokenizer if simple is None else self.bare
-        return [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts if simple is None else simple, add_special_tokens=False)]
+        out: list[np.ndarray] = [_NONE] * len(texts)
+
+        def encoded(tokenizer, at: list[int], some: list[str]) -> None:
+            for i, e in zip(at, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                out[i] = np.array(e.ids, np.int32)
+
+        rest = list(range(len(texts)))
+        if self.latin is not None:
+            kinds: tuple[list[int], list[int], list[int]] = ([], [], [])
+            for i, t in enumerate(texts):
+                kinds[0 if t.isascii() else 1 if max(t) < "\u0100" else 2].append(i)
+            rest = kinds[2]
+            for kind, at in enumerate(kinds[:2]):
+                simple = self._simple([texts[i] for i in at]) if at else []
+                if simple is None:
+                    rest += at
+                elif at:
+                    light = self.ascii if kind == 0 and "".join(simple).isprintable() else self.latin
+                    encoded(light, at, simple)
+        if rest:
+            encoded(self.tokenizer, rest, [texts[i] for i in rest])
+        return out
 
     def learn(self, table: dict[bytes, np.ndarray], chunks: dict[bytes, bytes]) -> None:
         """Adds to a table of ids by digest the chunks that it doesn't hold, each encoded once."""
