@@ -235,9 +235,12 @@ def write(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "
     """Writes the archives under `root` and returns their manifest: path, records, bytes."""
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_or_empty(payload_col).alias("html"))
-    # The sample is chosen by hashes, so that every run makes the same dictionary.
-    chosen = rows.filter("html != ''").select(F.xxhash64("html", "page_id").alias("o"), F.substring("html", 1, DICT_SAMPLE_CHARS)).orderBy("o").limit(DICT_SAMPLES)
-    some = [r[1:] for r in chosen.collect()]
+    # The sample is chosen by hashes, so that every run makes the same dictionary; a bound under which about twice as many
+    # hashes lie as it takes keeps tasks from sending more to the driver, however many they are.
+    few = 2 * DICT_SAMPLES / max(pages.count(), 1)
+    hashed = rows.filter("html != ''").select(F.xxhash64("html", "page_id").alias("o"), F.substring("html", 1, DICT_SAMPLE_CHARS).alias("html"))
+    chosen = hashed.filter(F.col("o") < int(few * (1 << 64)) - (1 << 63)) if few < 1 else hashed
+    some = [r[1:] for r in chosen.orderBy("o").limit(DICT_SAMPLES).collect()]
     dictionary = train([record(0, "http://example.com/", x[0].encode(), "0" * 64, None) for x in some]) if some else b""
     rows = rows.withColumn("digest", F.sha2("html", 256))
     # Only payloads held more than once go to the join; copies are counted before the shuffle.
