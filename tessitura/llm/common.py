@@ -46,6 +46,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     if owner := _owner.get():
         _written.setdefault((spark.sparkContext.applicationId, owner), []).append(folder)
     store, at = _store(spark, folder)
+    store.mkdirs(at)  # only what exists can be marked
     store.deleteOnExit(at)
     return f"{folder}/{label}"
 
