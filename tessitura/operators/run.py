@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -85,6 +86,28 @@ def disposed(seen: DataFrame, hashed: bool = False) -> DataFrame:
     )
 
 
+# Stages: from frame to frame, to be put one after another
+
+Stage = Callable[[DataFrame], DataFrame]
+
+
+def then(*stages: Stage) -> Stage:
+    """One stage of several, each working on what the one before gives; none leaves the frame as it is."""
+    return lambda df: functools.reduce(DataFrame.transform, stages, df)
+
+
+def judging(predicate: Predicate | None, catalog: AudioCatalog | None, algorithm: str | None = None, policy: Policy = Policy()) -> Stage:
+    return lambda files: judged(files, predicate, catalog, algorithm, policy)
+
+
+def matching(files: DataFrame) -> DataFrame:
+    return files.filter(F.col("disposition") == "matched")
+
+
+def rendering(style: str, algorithm: str | None = None) -> Stage:
+    return lambda rows: (objects if style == "json" else plain)(rows, algorithm)
+
+
 def warnings_of(files: DataFrame, silent: Iterable[str] = ()) -> DataFrame:
     w = lambda category, message: F.struct(F.lit(category).alias("category"), message.alias("message"))
     none = F.array().cast("array<struct<category:string,message:string>>")
@@ -115,8 +138,8 @@ def run(spark: SparkSession, specs: list[str], where: str | None = None, algorit
     catalog = AudioCatalog()
     predicate = compiled(where, catalog) if where is not None else None
     found = discovered(specs)
-    files = judged(files_frame(spark, found.files), predicate, catalog, algorithm, policy)
-    shown = files if algorithm else files.filter(F.col("disposition") == "matched")
+    files = files_frame(spark, found.files).transform(judging(predicate, catalog, algorithm, policy))
+    shown = files.transform(then() if algorithm else matching)
     return Run(files, shown.select("path", "hash"), warnings_of(files, silent), counts_of(files), found.warnings)
 
 

@@ -7,8 +7,10 @@ answer" are told apart. Audio comes from files that are built in memory.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
+import shutil
 import tempfile
 from collections.abc import Callable
 
@@ -19,11 +21,11 @@ from .functions import interpret, text
 from .functions.convert import number_from_text, text_of
 from .operators.catalog import Catalog, frame_catalog
 from .operators.predicate import compiled, exit_code, tally, warnings
-from .operators.run import ALGORITHMS, choice, counts_of, json_array, judged, objects, plain, suppressed, warnings_of
+from .operators.run import ALGORITHMS, choice, counts_of, json_array, judged, judging, matching, objects, plain, rendering, suppressed, then, warnings_of
 from .plans.diagnostics import PredicateError, closest
 from .plans.syntax import parse, printed
 from .sources import samples as made
-from .sources.discover import base_name, discovered, distinct_paths, extension_column, only_candidates
+from .sources.discover import base_name, discovered, distinct_paths, extension_column, only_candidates, walked_frame
 from .sources.reader import AudioCatalog, faults, layouts
 from .sources.window import in_memory
 
@@ -431,16 +433,17 @@ def _(spark, sf_dir):
     return judged(_files_of_documents(spark, sf_dir), where, catalog).select("path", "truth")
 
 
-@query("m5_filtered_hashes", f"SELECT {_FILE} AS path, md5(unhex(repeat('{_FRAME.hex()}', CAST({_FRAMES} AS BIGINT)))) AS hash, CAST(doc_id AS VARCHAR) LIKE '%3%' AS matched FROM documents")
+@query("m5_stages", f"SELECT {_FILE} || ' md5 ' || md5(unhex(repeat('{_FRAME.hex()}', CAST({_FRAMES} AS BIGINT)))) AS line FROM documents WHERE CAST(doc_id AS VARCHAR) LIKE '%3%'")
 def _(spark, sf_dir):
-    """Stages together: the reader, a predicate over a closing tag, and the hash."""
+    """The reader with a predicate over a closing tag and the hash, then a filter, then a sink, put together as one stage."""
     catalog = AudioCatalog()
-    files = judged(_files_of_documents(spark, sf_dir), compiled('id3v1::title =~ r"3"', catalog), catalog, "md5")
-    return files.select("path", "hash", (F.col("disposition") == "matched").alias("matched"))
+    where = compiled('id3v1::title =~ r"3"', catalog)
+    return _files_of_documents(spark, sf_dir).transform(then(judging(where, catalog, "md5"), matching, rendering("plain", "md5")))
 
 
 def _folder() -> str:
     top = tempfile.mkdtemp(prefix="tessitura-")
+    atexit.register(shutil.rmtree, top, ignore_errors=True)
     for name in ("a.mp3", "b.FLAC", "c.txt", ".mp3", "sub/d.mp3", "sub/deep/e.flac", "other/f.mp3", "w/p*q.mp3", "w/pxq.mp3"):
         path = os.path.join(top, name)
         os.makedirs(os.path.dirname(path), exist_ok=True)
@@ -461,6 +464,12 @@ def _(spark, sf_dir):
     return spark.createDataFrame(rows, "spec string, files string")
 
 
+@query("s2_walk_by_executors", _values([("a.mp3",), ("b.FLAC",), ("linked/f.mp3",), ("other/f.mp3",), ("sub/d.mp3",), ("sub/deep/e.flac",), ("w/p*q.mp3",), ("w/pxq.mp3",)], "file"))
+def _(spark, sf_dir):
+    top = _folder()
+    return walked_frame(spark, [top]).filter("warning IS NULL").select(F.substring("path", len(top) + 2, 1000).alias("file"))
+
+
 @query("s7_rejected", _values([("*a*", 1), ("missing", 1), ("*/a.mp3", 1), ("a.mp3", 0), ("nowhere/?", 0)], "spec, problems"))
 def _(spark, sf_dir):
     from .sources.discover import PathError, resolve

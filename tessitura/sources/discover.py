@@ -6,11 +6,13 @@ pattern: `?` and at most one `*`, in the last component alone. A pattern that fi
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,30 +102,39 @@ def _real(path: str) -> str:
         return os.path.abspath(path)
 
 
+def _entries(folder: str, above: tuple[str, ...], found: Discovery) -> tuple[list[str], list[tuple[str, tuple[str, ...]]]]:
+    """A folder's files, and its folders with the real folders above them. A linked folder is left out where its target is
+    one of these; a path of more links than the system follows (40 on Linux) can't be listed, a warning like any other."""
+    files, deeper = [], []
+    try:
+        entries = sorted(os.scandir(folder), key=lambda e: e.name)
+    except OSError as e:
+        found.warnings.append((folder, f"can't be listed: {e.strerror}"))
+        return [], []
+    for e in entries:
+        try:
+            is_folder = e.is_dir()
+        except OSError:
+            is_folder = False
+        if not is_folder:
+            files.append(e.path)
+            continue
+        real = _real(e.path) if e.is_symlink() else os.path.join(above[-1], e.name)
+        if not e.is_symlink() or real not in above:
+            deeper.append((e.path, (*above, real)))
+    return files, deeper
+
+
 def _walk(root: str, found: Discovery) -> Iterator[str]:
-    """Breadth first, to any depth. A linked folder is left out where its target is one of the folders on the way to it;
-    a path of more links than the system follows (40 on Linux) can't be listed, which is a warning like any other."""
+    """Breadth first, to any depth."""
     level = [(root, (_real(root),))]
     while level:
-        deeper = []
+        further = []
         for folder, above in level:
-            try:
-                entries = sorted(os.scandir(folder), key=lambda e: e.name)
-            except OSError as e:
-                found.warnings.append((folder, f"can't be listed: {e.strerror}"))
-                continue
-            for e in entries:
-                try:
-                    is_folder = e.is_dir()
-                except OSError:
-                    is_folder = False
-                if not is_folder:
-                    yield e.path
-                    continue
-                real = _real(e.path) if e.is_symlink() else os.path.join(above[-1], e.name)
-                if not e.is_symlink() or real not in above:
-                    deeper.append((e.path, (*above, real)))
-        level = deeper
+            files, deeper = _entries(folder, above, found)
+            yield from files
+            further += deeper
+        level = further
 
 
 def discovered(specs: list[str]) -> Discovery:
@@ -172,6 +183,35 @@ def files_frame(spark: SparkSession, files: list[str], per_task: int = 200) -> D
     return df.repartition(max(1, -(-len(files) // per_task)))
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of folders: files, folders to go on with (and the real folders above them), and what couldn't be listed."""
+    for b in batches:
+        rows: list[tuple] = []
+        for folder, above in zip(b["path"].to_pylist(), b["above"].to_pylist()):
+            found = Discovery()
+            files, deeper = _entries(folder, tuple(above), found)
+            rows += [(f, None, None) for f in files] + [(p, list(x), None) for p, x in deeper] + [(p, None, m) for p, m in found.warnings]
+        cols = list(zip(*rows)) or [[]] * 3
+        kinds = (pa.string(), pa.list_(pa.string()), pa.string())
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["path", "above", "warning"])
+
+
+def walked_frame(spark: SparkSession, folders: list[str], per_task: int = 50) -> DataFrame:
+    """The candidate files below folders that all executors see, listed by them a level at a time: path, and a warning
+    instead of a file where a folder can't be listed. The rules are those of the driver's own walk."""
+    schema = "path string, above array<string>, warning string"
+    level = spark.createDataFrame([(os.path.abspath(f), [_real(f)]) for f in dict.fromkeys(folders)], "path string, above array<string>")
+    found, n = [], len(folders)
+    while n:
+        entries = level.repartition(max(1, -(-n // per_task))).mapInArrow(_listed, schema).persist()
+        level = entries.filter("above IS NOT NULL").select("path", "above")
+        n = level.count()
+        found.append(entries.filter("above IS NULL").select("path", "warning"))
+    every = functools.reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "path string, warning string")
+    warned = every.filter("warning IS NOT NULL")
+    return distinct_paths(only_candidates(every.filter("warning IS NULL"))).unionByName(warned)
+
+
 def store_frame(spark: SparkSession, root: str) -> DataFrame:
     """path and length of the candidate files below a folder of any store, which Spark lists in parallel; nothing is read."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)

@@ -18,8 +18,8 @@ from tessitura.__main__ import main
 from tessitura.functions import interpret, text
 from tessitura.operators.catalog import frame_catalog
 from tessitura.operators.predicate import compiled
-from tessitura.operators.run import choice, json_array, suppressed
-from tessitura.sources.discover import PathError, discovered, extension, resolve
+from tessitura.operators.run import choice, json_array, last_warnings, suppressed, then
+from tessitura.sources.discover import PathError, discovered, extension, resolve, walked_frame
 from tessitura.streaming import arriving, counted
 
 
@@ -76,6 +76,15 @@ def test_folders_that_cannot_be_listed(music, monkeypatch):
             resolve([spec])
 
 
+def test_executors_walk_like_the_driver(spark, music, tmp_path):
+    os.symlink(music, tmp_path / "in")
+    (tmp_path / "own.mp3").write_bytes(b"x")
+    os.symlink(tmp_path, tmp_path / "self")
+    for roots in ([music], [str(tmp_path)], [music, str(tmp_path), music], []):
+        got = [r["path"] for r in walked_frame(spark, roots, per_task=1).collect()]
+        assert sorted(got) == sorted(discovered(roots).files)
+
+
 def test_links_of_any_depth(tmp_path):
     """Folders that link to each other are walked until a link leads back; chains longer than the system follows just end."""
     for i in range(45):
@@ -153,6 +162,19 @@ def test_json_of_nothing_and_options(spark):
             bad()
 
 
+def test_last_warnings_say_how_many():
+    said = lambda u, e, i=0, o=0, silent=(): [m for _, m in last_warnings({"unanswered": u, "examined": e, "incomplete": i, "opened": o}, silent)]
+    assert said(0, 5) == [] and said(1, 1) == ["the only examined file has no answer and is left out"]
+    assert said(3, 3) == ["all 3 examined files have no answer and are left out"] and said(1, 5) == ["1 of 5 examined files has no answer and is left out"]
+    assert said(2, 5, 2, 4) == ["2 of 5 examined files have no answer and are left out", "2 of 4 opened files were read in part"]
+    assert said(2, 5, 1, 1, ["unanswered"]) == ["the only opened file was read in part"]
+
+
+def test_stages_follow_each_other(spark):
+    df = spark.range(5)
+    assert then()(df).count() == 5 and then(lambda d: d.filter("id > 1"), lambda d: d.filter("id < 4"))(df).count() == 2
+
+
 def test_streams(spark, music, tmp_path):
     (tmp_path / "box" / "deep").mkdir(parents=True)
     for name in ("good.mp3", "noise.mp3"):
