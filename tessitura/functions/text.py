@@ -4,8 +4,9 @@ Normalized: compatibility decomposition, no default-ignorables, no marks on Lati
 folding, a few letters spelled out, recomposition. Literal: recomposition alone. In both, lone surrogates become
 U+FFFD. The rules are applied to a string once.
 
-In Spark all of it runs in generated JVM code: the normal forms are ICU's, which Spark ships for its collations,
-called as expressions; the rest are regular expressions and replacements. ASCII text needs the lower case alone. The
+In Spark all of it runs in generated JVM code. ASCII text needs the lower case alone. Text of characters that become one
+character or a fixed pair, whatever stands beside them, goes by a table that the Python rules fill. For other text, the
+normal forms are ICU's, which Spark ships for its collations, called as expressions, with regular expressions between. The
 Python rules prepare constants, and everything where a session has no JVM at hand (Spark Connect), by a vectorized UDF.
 """
 
@@ -166,12 +167,50 @@ def _folded(c: Column) -> Column:
     return F.element_at(F.transform(F.array(F.lower(c)), respelled), 1)
 
 
+# Blocks whose characters a table may hold, for two kinds of text, since a pattern of few ranges is the faster one: Latin;
+# and Greek, Cyrillic, kana, ideographs and syllables of Hangul. Both hold ASCII.
+_LATIN = ((0x9, 0xD), (0x20, 0x7E), (0xA1, 0x24F), (0x1EA0, 0x1EF9))
+_OTHER = ((0x20, 0x7E), (0x400, 0x52F), (0x30A1, 0x30FA), (0x30FC, 0x30FE), (0x4E00, 0x9FFF), (0x3041, 0x3096), (0xAC00, 0xD7A3), (0x386, 0x3CE))
+_PAIRS = ("ß", "æ", "Æ", "œ", "Œ", "þ", "Þ")
+
+
+@functools.cache
+def _table(blocks: tuple[tuple[int, int], ...]) -> tuple[str, str, tuple[tuple[str, str], ...], str]:
+    """Characters and what each becomes, those that become a pair, and a pattern of texts of such characters alone.
+
+    What a character becomes doesn't depend on its neighbours where neither it nor its result holds a mark, an ignorable
+    character or a letter of Hangul that joins with others.
+    """
+    ones, pairs, ranges = [], [], []
+    joins = lambda c: unicodedata.category(c)[0] == "M" or _kind(c)[0] or 0x1100 <= ord(c) <= 0x11FF
+    for first, last in blocks:
+        same = first in (0x4E00, 0xAC00)  # they become themselves
+        begin = first
+        for code in range(first, last + 1) if not same else ():
+            c = chr(code)
+            new = normalized(c)
+            if joins(c) or any(map(joins, new)) or len(new) != 1 and c not in _PAIRS:
+                ranges += [(begin, code - 1)] * (begin < code)
+                begin = code + 1
+            elif new != c:
+                (ones if len(new) == 1 else pairs).append((c, new))
+        ranges += [(begin, last)] * (begin <= last)
+    return "".join(c for c, _ in ones), "".join(new for _, new in ones), tuple(pairs), f"^[{_set(tuple(ranges))}]*\\z"
+
+
 def _prepared_in_jvm(c: Column, literally: bool) -> Column:
     ascii_ = F.octet_length(c) == F.char_length(c)
     if literally:
         return F.when(ascii_, c).otherwise(_normal_form(c, "compose", False))
+    old, new, pairs, latin = _table(_LATIN)
+    by_table = spelled = F.translate(c, old, new)
+    for a, b in pairs:
+        spelled = F.replace(spelled, F.lit(a), F.lit(b))
+    by_table = F.when(c.rlike("[" + "".join(a for a, _ in pairs) + "]"), spelled).otherwise(by_table)
+    old, new, _, known = _table(_OTHER)
     bare = F.regexp_replace(F.regexp_replace(_normal_form(c, "decompose", True), _IGNORED, ""), _BARE_MARKS, "")
-    return F.when(ascii_, F.lower(c)).otherwise(_normal_form(_folded(F.regexp_replace(bare, _DOTS, "")), "compose", False))
+    other = _normal_form(_folded(F.regexp_replace(bare, _DOTS, "")), "compose", False)
+    return F.when(ascii_, F.lower(c)).when(c.rlike(latin), by_table).when(c.rlike(known), F.translate(c, old, new)).otherwise(other)
 
 
 def _udf(literally: bool, bag: bool):
